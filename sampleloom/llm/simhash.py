@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from sampleloom.llm import kernels
 from sampleloom.llm.components import connected_components
 from sampleloom.llm.storage import materialize
+from sampleloom.shipping import ship
 
 SEARCH_BITS = 64
 PARTS = 4
@@ -349,6 +350,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     one node: it is in a group if any of its texts is.  An empty table gives no
     rows.  Texts of any length are used whole.
     """
+    ship(docs.sparkSession)
     signed = materialize(signature_table(docs), "signatures")
     same = ["s0", "s1", "s2", "size"]
     distinct = materialize(signed.groupBy(*same).agg(F.min("doc_id").alias("id")), "distinct-signatures")
