@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sampleloom.llm import mixing, packing, quality, simhash, substrings
+from sampleloom.llm import mixing, packing, quality, simhash, substrings, tokencounts, urlfilter
+from sampleloom.llm.storage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,34 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over the whole corpus, each delivered twice.
+
+    All documents are inserted; those whose label says low quality are deleted;
+    those whose white space at line ends and between lines isn't in normal form are revised.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels")
+    tokenizer = tokencounts.Tokenizer()
+    counts = materialize(tokencounts.count_tokens(docs, tokenizer), "token-counts")
+    bad = labels.where("quality = 0").select("doc_id").distinct()
+    deleted = counts.join(bad, "doc_id", "left_semi")
+    normal = F.regexp_replace(F.regexp_replace("text", "[ \\t]+(?=\\n|$)", ""), "\\n{3,}", "\n\n")
+    changed = docs.withColumn("text2", normal).where("text <> text2").join(bad, "doc_id", "left_anti")
+    revised = tokencounts.count_tokens(changed.drop("text").withColumnRenamed("text2", "text"), tokenizer)
+    was = counts.join(changed.select("doc_id").distinct(), "doc_id", "left_semi")
+    rollup = tokencounts.TokenRollup(spark)
+    batches = {"insert": (None, counts), "delete": (deleted, None), "revise": (was, revised)}
+    for _ in range(2):
+        for name, (before, after) in batches.items():
+            rollup.commit(name, tokencounts.delta(before, after))
+    return rollup.totals()
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.decide(_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -37,11 +67,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_token_rollup": op7_token_rollup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substrings.passages_sql(),
     "op5_quality_rules": quality.report_sql(),
+    "op10_url_filter": urlfilter.decide_sql(),
 }
