@@ -201,4 +201,4 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
     where = mix(docs, weights, block_docs).groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__d")).agg(F.min("position").alias("__p"))
     on = docs["source"].cast("string").eqNullSafe(where["__s"]) & docs["doc_id"].cast("long").eqNullSafe(where["__d"])
     joined = docs.join(where, on, "left")
-    return joined.repartitionByRange(F.col("__p")).sortWithinPartitions("__p").select(*(docs[n] for n in names))
+    return joined.repartitionByRange(F.col("__p")).sortWithinPartitions("__p").select(*(docs[f"`{n}`"] for n in names))

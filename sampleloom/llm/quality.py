@@ -89,7 +89,7 @@ def compile_rules(rules: list[tuple] = RULES) -> str:
 
 
 def judged(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
-    """``docs`` with the columns ``__failed`` (names of failed rules) and ``__words`` (number of words).
+    """(__doc, __words, __failed, __metrics): each row of ``docs`` as a struct, its number of words, the names of the rules it fails, and its metrics.
 
     A null text fails ``no_words``, as an empty or blank one does.  A null or
     unknown language is judged by all rules but the stop words.  The order and
@@ -98,7 +98,8 @@ def judged(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """
     names = docs.columns
     cells = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    base = docs.select(*(F.col(f"`{n}`") for n in names), cells.alias("__in"))
+    # the row travels in one struct, so no name of its columns meets one of those made here
+    base = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("__doc"), cells.alias("__in"))
     flat = "translate(__in.text, '\\t\\n\\r\\u000b\\u000c', '     ')"
     # A generator of one row: unlike a projection it is never folded into the expressions over it, so each text is cut once.
     cut = F.expr(f"inline(array(named_struct('__w', array_remove(split({flat}, ' '), ''), '__l', split(__in.text, '\\n'))))")
@@ -110,9 +111,9 @@ def judged(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
             e = _replace_name(e, name, path)
         # no words: no ratios
         values.append(f"'{metric}', " + (e if metric == "word_count" else f"CASE WHEN size(__w) > 0 THEN {e} END"))
-    measured = tokens.select(*(F.col(f"`{n}`") for n in names), F.expr("size(__w)").alias("__words"), F.expr(f"inline(array(named_struct('m', named_struct({', '.join(values)}))))"))
+    measured = tokens.select("__doc", F.expr("size(__w)").alias("__words"), F.expr(f"inline(array(named_struct('m', named_struct({', '.join(values)}))))"))
     failed = compile_rules(rules).replace("n_words >=", "__words >=")
-    return measured.select(*(F.col(f"`{n}`") for n in names), "__words", F.expr(failed).alias("__failed"), F.col("m").alias("__metrics"))
+    return measured.select("__doc", "__words", F.expr(failed).alias("__failed"), F.col("m").alias("__metrics"))
 
 
 def _replace_name(e: str, name: str, path: str) -> str:
@@ -123,14 +124,14 @@ def _replace_name(e: str, name: str, path: str) -> str:
 
 def passing(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """The rows of ``docs`` that fail no rule, with their columns as they were.  See :func:`judged` for nulls."""
-    return judged(docs, rules).where("size(__failed) = 0").select(*(F.col(f"`{n}`") for n in docs.columns))
+    return judged(docs, rules).where("size(__failed) = 0").select(*(F.col(f"__doc.`{n}`") for n in docs.columns))
 
 
 def quality_report(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """(doc_id, n_words, metrics ...) of the documents that pass all rules."""
     good = judged(docs, rules).where("size(__failed) = 0")
     metrics = [m for m in dict.fromkeys(r[1] for r in rules) if m != "word_count"]
-    return good.select("doc_id", F.col("__words").cast("long").alias("n_words"), *(F.col(f"__metrics.{m}").cast("double").alias(m) for m in metrics))
+    return good.select("__doc.doc_id", F.col("__words").cast("long").alias("n_words"), *(F.col(f"__metrics.{m}").cast("double").alias(m) for m in metrics))
 
 
 def report_sql(rules: list[tuple] = RULES) -> str:

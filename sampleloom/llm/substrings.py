@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - makes pa.compute available
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sampleloom.llm import kernels
 from sampleloom.shipping import ship
@@ -348,14 +349,14 @@ SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(stop) AS INTEGER)
 """
 
 
-def _cut(batches):
+def _cut(batches, text_column):
     """Removes the words of the spans from the texts: from the first byte of a span up to the next word kept."""
     for batch in batches:
-        for part in kernels.rebatch([batch]):
+        for part in kernels.rebatch([batch], text=text_column):
             names = part.schema.names
             spans = part.column(names.index("__spans"))
             hit = np.flatnonzero(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(spans), 0)) > 0)
-            text = part.column(names.index("text"))
+            text = part.column(names.index(text_column))
             if len(hit):
                 words = kernels.Words(text.take(pa.array(hit)))
                 data = words.data
@@ -373,7 +374,7 @@ def _cut(batches):
                 text = pa.array(out, pa.string())
             flag = np.zeros(part.num_rows, bool)
             flag[hit] = True
-            cols = [text if n == "text" else part.column(j) for j, n in enumerate(names) if n != "__spans"]
+            cols = [text if n == text_column else part.column(j) for j, n in enumerate(names) if n != "__spans"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(flag)], [*(n for n in names if n != "__spans"), "__cut"])
 
 
@@ -384,15 +385,18 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text that was cut, and texts without a cut stay byte for byte.  See
     :func:`repeated_spans` for nulls, short texts and repeated rows.
     """
-    from pyspark.sql import types as T
-
     names = docs.columns
     cut = repeated_spans(docs, window).where("NOT kept")
     cut = cut.groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    joined = docs.join(cut, (docs["doc_id"] == cut["__doc"]) & (F.xxhash64(docs["text"]) == cut["__row"]), "left").select(*(docs[n] for n in names), "__spans")
-    schema = T.StructType([*(joined.schema[n] for n in names), T.StructField("__cut", T.BooleanType())])
-    done = joined.mapInArrow(_cut, schema)
+    # columns go by number, so that any name will do
+    cols = [f"c{i}" for i in range(len(names))]
+    docs = docs.toDF(*cols).withColumn(cols[names.index("text")], F.col(cols[names.index("text")]).cast("string"))
+    text, doc_id = docs[cols[names.index("text")]], docs[cols[names.index("doc_id")]]
+    joined = docs.join(cut, (doc_id.cast("long") == cut["__doc"]) & (F.xxhash64(text) == cut["__row"]), "left").select(*cols, "__spans")
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in cols), T.StructField("__cut", T.BooleanType())])
+    done = joined.mapInArrow(lambda batches: _cut(batches, cols[names.index("text")]), schema)
+    left = done.where(f"NOT __cut OR trim({cols[names.index('text')]}) <> ''")
     if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.where("NOT __cut OR trim(text) <> ''").select(*names)
+        n = cols[names.index("n_chars")]
+        left = left.withColumn(n, F.when(F.col("__cut"), F.length(cols[names.index("text")]).cast(docs.schema[n].dataType)).otherwise(F.col(n)))
+    return left.select(*cols).toDF(*names)
