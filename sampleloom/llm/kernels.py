@@ -70,6 +70,8 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+    if pa.types.is_null(texts.type):
+        texts = texts.cast(pa.string())
     if texts.null_count:
         texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
     n = len(texts)
