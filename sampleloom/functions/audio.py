@@ -23,7 +23,7 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
         with wave.open(io.BytesIO(data)) as w:
             n, channels, width, rate = w.getnframes(), w.getnchannels(), w.getsampwidth(), w.getframerate()
             raw = w.readframes(n)
-    except wave.Error as e:
+    except (wave.Error, EOFError) as e:
         raise ValueError(f"only PCM WAV is decoded here: {e}") from e
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128

@@ -41,7 +41,7 @@ def stream_batch(df: DataFrame, key: str, order_key: str, batch_size: int, shard
             state.remove()
         else:
             for pdf in parts:
-                held.extend(pdf.sort_values(order_key)[key].tolist())
+                held.extend(pdf.sort_values("__order")["__value"].tolist())
             while len(held) >= batch_size:
                 made.append((k[0], n, held[:batch_size]))
                 n, held = n + 1, held[batch_size:]
@@ -50,7 +50,7 @@ def stream_batch(df: DataFrame, key: str, order_key: str, batch_size: int, shard
                 state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(made, columns=["shard", "batch", "values"])
 
-    rows = df.select((F.col(shard).cast("string") if shard else F.lit("0")).alias("__shard"), order_key, key)
+    rows = df.select((F.col(shard).cast("string") if shard else F.lit("0")).alias("__shard"), F.col(f"`{order_key}`").alias("__order"), F.col(f"`{key}`").alias("__value"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return rows.groupBy("__shard").applyInPandasWithState(run, out, state_type, "append", timeout)
 
