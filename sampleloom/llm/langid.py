@@ -28,8 +28,9 @@ NGRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 DIM = BUCKETS * len(NGRAMS)
 #: Most labelled rows that are fitted on, and of those the share held out for calibration.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 HELD_OUT = 0.2
+_GRAIN = 1 << 40
 _MULT = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
 
 
@@ -196,9 +197,9 @@ class LanguageModel:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """A model of the languages in ``docs.lang``.
 
-    At most ``rows`` labelled rows are fitted on: those with the least hash of
-    (doc_id, text), hence a uniform sample that doesn't depend on order or
-    partitions.  Rows with a null text or language aren't labelled.  Without any there is
+    About ``rows`` labelled rows at most are fitted on: those whose hash of (doc_id,
+    text) is below a bound, hence a uniform sample that doesn't depend on order
+    or partitions.  Rows with a null text or language aren't labelled.  Without any there is
     one class, null.
     """
     spark = docs.sparkSession
@@ -207,10 +208,22 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     idf = idf_weights(df, n)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where("text IS NOT NULL AND trim(text) <> '' AND lang IS NOT NULL")
-    key = F.xxhash64("doc_id", "text")
-    sample = labelled.select(key.alias("k"), "text", "lang").orderBy("k", "lang", "text").limit(rows).collect()
+    total = docs.where("lang IS NOT NULL").count()
+    cut = int(_GRAIN * min(1.0, rows / max(total, 1)))
+    chosen = labelled.select(F.xxhash64("doc_id", "text").alias("k"), "lang", "text").where(f"pmod(k, {_GRAIN}) < {cut}")
+    shared = spark.sparkContext.broadcast(idf)
+
+    def features(batches):
+        for b in batches:
+            made = [_sparse(t, shared.value) for t in b.column(1).to_pylist()]
+            blobs = [[x.astype(kind).tobytes() for x in part] for kind, part in zip((np.int32, np.float32), zip(*made))] if made else [[], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.binary()) for x in blobs)], ["lang", "k", "at", "value"])
+
+    # texts stay on the executors; the driver gets the features of about ``rows`` rows
+    sample = chosen.select("lang", "text", "k").mapInArrow(features, "lang string, k long, at binary, value binary").collect()
+    sample.sort(key=lambda r: (r["k"], r["lang"], bytes(r["at"]), bytes(r["value"])))
     classes = sorted({r["lang"] for r in sample}) or [None]
-    features = [_sparse(r["text"], idf) for r in sample]
+    features = [(np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["value"]), np.float32)) for r in sample]
     labels = [classes.index(r["lang"]) for r in sample]
     held = int(len(sample) * HELD_OUT)
     model = FtrlRegression(classes)
