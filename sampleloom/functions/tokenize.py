@@ -189,6 +189,11 @@ class Lattice:
                 out.append(token)
         return out
 
+    def dot(self) -> str:
+        """The lattice in the language of graph drawing tools."""
+        links = (f'  {at} -> {end} [label="{token}"];' for at, out in sorted(self.edges.items()) for end, token in out)
+        return "\n".join(["digraph {", *links, "}"])
+
     def paths(self) -> Iterator[list[int]]:
         """Every tokenization, the longer tokens first."""
         ok = self._alive()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,3 +71,18 @@ def sample_transform(df: DataFrame, func: Callable[[dict], dict], schema: str |
             yield pd.DataFrame({f: pd.Series([r[f] for r in made], dtype=object if not made else None) for f in fields})
 
     return df.mapInPandas(run, out)
+
+
+def compose(df: DataFrame, func: Callable[[dict], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
+    """The samples that ``func`` makes from each row (a dict), one after the other; none is allowed."""
+    ship(df.sparkSession)
+    fields = [f.name for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            made = [r for row in pdf.to_dict("records") for r in func(row)]
+            yield pd.DataFrame({f: pd.Series([r[f] for r in made], dtype=object if not made else None) for f in fields})
+
+    return df.mapInPandas(run, schema)

@@ -9,13 +9,14 @@ plain condition: false leaves the object as it is.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sampleloom import state
 from sampleloom.functions import arrays, images, strings, tokenize
 from sampleloom.operators import batching, columns, order, windows
 from sampleloom.sources import media, tar, text
@@ -79,8 +80,8 @@ class Dataset:
     def slice(self, ikey: str, dims, starts, ends, output_key: str = ""):
         return self._with(arrays.slice_(self.df, ikey, dims, starts, ends, output_key))
 
-    def random_slice(self, ikey: str, dims, sizes, output_key: str = "", seed: int = 0):
-        return self._with(arrays.random_slice(self.df, ikey, dims, sizes, output_key, seed))
+    def random_slice(self, ikey: str, dims, sizes, output_key: str = "", seed: int | None = None):
+        return self._with(arrays.random_slice(self.df, ikey, dims, sizes, output_key, state.pick(seed)))
 
     def squeeze(self, key: str, dim=None, output_key: str = ""):
         return self._with(arrays.squeeze(self.df, key, dim, output_key))
@@ -98,8 +99,8 @@ class Dataset:
     def replace_bytes(self, ikey: str, byte_map: Sequence[str], output_key: str = ""):
         return self._with(strings.replace_bytes(self.df, ikey, byte_map, output_key))
 
-    def tokenize(self, key: str, trie, mode: str = tokenize.SHORTEST, ignore_unk: bool = False, trie_key_scores=(), output_key: str = "", seed: int = 0):
-        return self._with(tokenize.tokenize(self.df, key, trie, mode, ignore_unk, trie_key_scores, output_key, seed))
+    def tokenize(self, key: str, trie, mode: str = tokenize.SHORTEST, ignore_unk: bool = False, trie_key_scores=(), output_key: str = "", seed: int | None = None):
+        return self._with(tokenize.tokenize(self.df, key, trie, mode, ignore_unk, trie_key_scores, output_key, state.pick(seed)))
 
     def tokenize_bpe(self, key: str, symbols, merges, output_key: str = ""):
         return self._with(tokenize.tokenize_bpe(self.df, key, symbols, merges, output_key))
@@ -138,14 +139,14 @@ class Dataset:
     def image_channel_reduction(self, key: str, preset: str = "default", output_key: str = ""):
         return self._image(key, lambda x: images.channel_reduction(x, preset), output_key)
 
-    def image_random_area_crop(self, key: str, area_range, aspect_ratio_range, num_trial: int = 10, output_key: str = "", seed: int = 0):
-        return self._image(key, lambda x, r: images.random_area_crop(x, area_range, aspect_ratio_range, r, num_trial), output_key, seed)
+    def image_random_area_crop(self, key: str, area_range, aspect_ratio_range, num_trial: int = 10, output_key: str = "", seed: int | None = None):
+        return self._image(key, lambda x, r: images.random_area_crop(x, area_range, aspect_ratio_range, r, num_trial), output_key, state.pick(seed))
 
-    def image_random_crop(self, key: str, w: int, h: int, output_key: str = "", seed: int = 0):
-        return self._image(key, lambda x, r: images.random_crop(x, w, h, r), output_key, seed)
+    def image_random_crop(self, key: str, w: int, h: int, output_key: str = "", seed: int | None = None):
+        return self._image(key, lambda x, r: images.random_crop(x, w, h, r), output_key, state.pick(seed))
 
-    def image_random_h_flip(self, key: str, prob: float, output_key: str = "", seed: int = 0):
-        return self._image(key, lambda x, r: images.h_flip(x) if r.random() <= prob else x, output_key, seed)
+    def image_random_h_flip(self, key: str, prob: float, output_key: str = "", seed: int | None = None):
+        return self._image(key, lambda x, r: images.h_flip(x) if r.random() <= prob else x, output_key, state.pick(seed))
 
     def image_resize(self, key: str, w: int, h: int, output_key: str = ""):
         return self._image(key, lambda x: images.resize(x, w, h), output_key)
@@ -233,8 +234,8 @@ class Buffer(Dataset):
     def perm(self, indices: Sequence[int]) -> Buffer:
         return self._with(order.perm(self.df, indices))
 
-    def shuffle(self, seed: int = 0) -> Buffer:
-        return self._with(order.shuffle(self.df, seed))
+    def shuffle(self, seed: int | None = None) -> Buffer:
+        return self._with(order.shuffle(self.df, state.pick(seed)))
 
     def batch(self, batch_size, pad: Mapping[str, float] | float = 0, dim: Mapping[str, int] | None = None) -> Buffer:
         return self._with(batching.batch(self.df, batch_size, pad, dim))
@@ -262,8 +263,8 @@ class Stream(Dataset):
     def batch(self, batch_size: int, pad: Mapping[str, float] | float = 0, dim: Mapping[str, int] | None = None) -> Stream:
         return self._with(batching.batch(self.df, batch_size, pad, dim))
 
-    def dynamic_batch(self, buffer_size: int, key: str, *, min_data_size: int = -1, max_data_size: int = -1, pad=0, dim=None, shuffle: bool = False, drop_outliers: bool = False, max_skipped_samples: int = 1000, num_threads: int = 1, seed: int = 0) -> Stream:
-        return self._with(batching.dynamic_batch(self.df, key, min_data_size, max_data_size, pad, dim, drop_outliers, buffer_size, shuffle, seed, max_skipped_samples))
+    def dynamic_batch(self, buffer_size: int, key: str, *, min_data_size: int = -1, max_data_size: int = -1, pad=0, dim=None, shuffle: bool = False, drop_outliers: bool = False, max_skipped_samples: int = 1000, num_threads: int = 1, seed: int | None = None) -> Stream:
+        return self._with(batching.dynamic_batch(self.df, key, min_data_size, max_data_size, pad, dim, drop_outliers, buffer_size, shuffle, state.pick(seed), max_skipped_samples))
 
     def buffered(self, buffer_size: int, on_refill: Callable | None = None, num_threads: int = 1, schema=None) -> Stream:
         return self._with(batching.buffered(self.df, buffer_size, on_refill, schema))
@@ -278,6 +279,10 @@ class Stream(Dataset):
     def partition(self, num_partitions: int, partition: int) -> Stream:
         return self._with(order.partition(self.df, num_partitions, partition))
 
+    def compose(self, func: Callable[[dict], Iterable[dict]], schema) -> Stream:
+        """All samples that ``func`` makes from each sample, in one stream."""
+        return self._with(columns.compose(self.df, func, schema))
+
     def prefetch(self, prefetch_size: int, num_threads: int) -> Stream:
         """Tasks run ahead of the reader anyway: the same rows."""
         return self
@@ -285,8 +290,8 @@ class Stream(Dataset):
     def repeat(self, num_time: int) -> Stream:
         return self._with(order.repeat(self.df, num_time))
 
-    def shuffle(self, buffer_size: int, seed: int = 0) -> Stream:
-        return self._with(order.stream_shuffle(self.df, buffer_size, seed))
+    def shuffle(self, buffer_size: int, seed: int | None = None) -> Stream:
+        return self._with(order.stream_shuffle(self.df, buffer_size, state.pick(seed)))
 
     def sliding_window(self, key: str, size: int, stride: int, dim: int = -1, index_key: str = "") -> Stream:
         """The windows get an index with gaps; ``to_buffer`` numbers them."""
