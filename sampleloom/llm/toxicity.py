@@ -185,16 +185,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[C
     ship(spark)
     total = labels.where("toxic IS NOT NULL").select("doc_id").distinct().count()
     cut = int(_GRAIN * min(TRAIN_SHARE, rows / max(total, 1)))
-    chosen = _labelled(docs, labels.where(f"{_place('CAST(doc_id AS BIGINT)')} < {cut}")).orderBy("doc_id", "text")
+    # both sides are cut down before they meet: no text of another row is moved
+    mine = f"{_place('CAST(doc_id AS BIGINT)')} < {cut}"
+    chosen = _labelled(docs.where(mine), labels.where(mine))
 
     def ids_of(batches):
         for batch in batches:
             for part in kernels.rebatch([batch]):
                 ids, first = word_ids(part.column(0))
                 blobs = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), part.column(1)], ["ids", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), part.column(1), part.column(2)], ["ids", "toxic", "doc_id"])
 
-    sample = chosen.select("text", "toxic").mapInArrow(ids_of, "ids binary, toxic int").collect()
+    sample = chosen.select("text", "toxic", "doc_id").mapInArrow(ids_of, "ids binary, toxic int, doc_id long").collect()
+    sample.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
     net = ConvNet()
     data = [np.frombuffer(bytes(r["ids"]), np.uint16).reshape(-1, 2) for r in sample]
     said = np.array([r["toxic"] for r in sample], np.int64)
