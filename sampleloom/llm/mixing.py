@@ -153,6 +153,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     A null source is one of its own, a null doc_id comes first in its source,
     rows that repeat a doc_id follow each other, and an empty table gives no rows.
     """
+    return _mix(docs, weights, block_docs, grain)[0]
+
+
+def _mix(docs: DataFrame, weights: dict | None, block_docs: int, grain: int = GRAIN) -> tuple[DataFrame, int]:
+    """:func:`mix`, and a number that all positions are below."""
     ship(docs.sparkSession)
     ranked, sizes = _ranked(docs)
     if weights is None:
@@ -188,7 +193,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
             position = slot * block_docs + np.asarray(batch.column(2)) % block_docs
             yield pa.RecordBatch.from_arrays([pa.array(position), pa.array(slot), batch.column(0), pa.array(block), batch.column(1)], ["position", "slot", "source", "block", "doc_id"])
 
-    return ranked.mapInArrow(place, "position long, slot long, source string, block long, doc_id long")
+    placed = ranked.mapInArrow(place, "position long, slot long, source string, block long, doc_id long")
+    return placed, max(1, sum(e["slots"] for e in plan) * block_docs)
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -198,7 +204,11 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
     the first of its places.
     """
     names = docs.columns
-    where = mix(docs, weights, block_docs).groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__d")).agg(F.min("position").alias("__p"))
+    placed, bound = _mix(docs, weights, block_docs)
+    where = placed.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__d")).agg(F.min("position").alias("__p"))
     on = docs["source"].cast("string").eqNullSafe(where["__s"]) & docs["doc_id"].cast("long").eqNullSafe(where["__d"])
     joined = docs.join(where, on, "left")
-    return joined.repartitionByRange(F.col("__p")).sortWithinPartitions("__p").select(*(docs[f"`{n}`"] for n in names))
+    # Positions are spread evenly, so ranges need no sample: a partition's number follows from the position.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = (F.col("__p") * parts / bound).cast("int")
+    return joined.repartitionById(parts, number).sortWithinPartitions("__p").select(*(docs[f"`{n}`"] for n in names))
