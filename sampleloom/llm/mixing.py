@@ -11,14 +11,17 @@ A source that has run out leaves, and the others go on with their weights made
 to sum to 1 again: a new epoch, fair from its own start.  So every document has a
 place, and the targets hold for as long as they can.
 
-The schedule of an epoch isn't simulated block by block on the driver but per
-*period*: only the list of sources and their block counts come to it, and the
-slots of each source are found from its own numbers (see ``slots``).
+Weights are taken exactly, so the bounds hold however long an epoch lasts.  Only the
+sources and their block counts come to the driver.  It simulates an epoch block by
+block up to its *period* (the sum of the weights in lowest terms), and from there
+the slots of each source are found from its own numbers; a number is kept for each
+simulated block, so driver time and memory follow the blocks, not the documents.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -30,7 +33,7 @@ from sampleloom.shipping import ship
 
 #: Documents of a block.
 BLOCK_DOCS = 64
-#: Weights are rounded to multiples of 1 / GRAIN, so that an epoch's schedule repeats after GRAIN slots at the latest.
+#: Where weights are to be rounded, to multiples of 1 / GRAIN.  An epoch is looked at for a shorter period so many slots after each source could have one.
 GRAIN = 1 << 12
 #: Most sources that have a weight each.
 MAX_SOURCES = 1 << 12
@@ -81,35 +84,99 @@ def period(weights: dict) -> list:
     return out
 
 
-def epochs(blocks: dict, weights: dict, grain: int = GRAIN) -> list[dict]:
-    """What each epoch schedules: start slot, slots, and by source its first block, blocks and the slots of a period.
+def exact_weights(weights: dict) -> dict:
+    """Whole numbers in exactly the given proportions."""
+    share = {k: max(Fraction(0), Fraction(v)) for k, v in weights.items()}
+    unit = math.lcm(*(v.denominator for v in share.values()))
+    return {k: int(v * unit) for k, v in share.items()}
 
-    An epoch ends with the slot in which some source has its last block.
+
+def epochs(blocks: dict, weights: dict, grain: int | None = None) -> tuple[dict, int]:
+    """Where each source's blocks go, and the number of slots.
+
+    By source, segments (first block, start, length, places): the block first + j has
+    the slot start + j // len(places) * length + places[j % len(places)].
+
+    An epoch ends with the slot in which some source has its last block.  Weights
+    are exact; with ``grain`` they are rounded by :func:`integer_weights` in each epoch.
+    Sources of weight 0 wait until all others have run out, and then share equally.
     """
     left = {k: n for k, n in blocks.items() if n > 0}
+    found: dict = {k: [] for k in left}
+    if grain is not None:
+        return found, _run(left, found, 0, weights, grain)
+    whole = exact_weights({k: weights[k] for k in left}) if left else {}
+    at = _run({k: left[k] for k in left if whole[k]}, found, 0, whole)
+    return found, _run({k: left[k] for k in left if not whole[k]}, found, at, dict.fromkeys(left, 1))
+
+
+def _run(left: dict, found: dict, at: int, weights: dict, grain: int | None = None) -> int:
+    """Schedules the blocks ``left`` from slot ``at`` on, into ``found``; the slot after the last.
+
+    A simulated slot costs a step on two heaps, an epoch only what it reaches: the sources that haven't
+    had a block in it all wait with block 0, whose deadlines ascend along ``order``.
+    """
     done = dict.fromkeys(left, 0)
-    at, out = 0, []
+    whole, order, after, number, total = weights, [], [], {}, 0
+
+    def waiting_from(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
     while left:
-        whole = integer_weights({k: weights[k] for k in left}, grain)
-        order = period(whole)
-        length = len(order)
-        places: dict = {k: [] for k in left}
-        for t, k in enumerate(order):
-            places[k].append(t)
-        # the slot of a source's last block is in its own numbers: whole periods, then a place in the period
-        last = {k: (n - 1) // whole[k] * length + places[k][(n - 1) % whole[k]] for k, n in left.items()}
-        slots = min(last.values()) + 1
-        part = {}
-        for k in left:
+        if grain is not None or not order:
+            whole = weights if grain is None else integer_weights({k: weights[k] for k in left}, grain)
+            order = sorted(left, key=lambda k: (-whole[k], _rank(k)))
+            after, number = list(range(len(order) + 1)), {k: i for i, k in enumerate(order)}
+            total = sum(whole[k] for k in left)
+        length, look = total, len(left) + GRAIN
+        waiting: list[tuple[int, int, int]] = []  # release, source, block
+        ready: list[tuple[int, int, int]] = []  # deadline, source, block
+        fresh = waiting_from(0)
+        places: dict = {}
+        t, over = 0, False
+        while not over:
+            if t == look:  # long enough to look for a shorter period
+                length = total // math.gcd(*(whole[k] for k in left))
+            if t >= length:
+                break
+            while waiting and waiting[0][0] <= t:
+                _, i, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // whole[order[i]]), i, j))
+            first = (-(-total // whole[order[fresh]]), fresh, 0) if fresh < len(order) else None
+            if first and (not ready or first < ready[0]):
+                i, j, fresh = fresh, 0, waiting_from(fresh + 1)
+            else:
+                _, i, j = heapq.heappop(ready)
+            k = order[i]
+            places.setdefault(k, []).append(t)
+            heapq.heappush(waiting, ((j + 1) * total // whole[k], i, j + 1))
+            over = j + 1 == left[k]
+            t += 1
+        if over:
+            slots, gone = t, {k: len(v) for k, v in places.items()}
+            for k, v in places.items():
+                if not found[k] or found[k][-1][2]:
+                    found[k].append((done[k], 0, 0, []))
+                found[k][-1][3].extend(at + x for x in v)
+        else:  # it repeats: the slot of a source's last block is a place after whole periods
+            cut = {k: np.array([x for x in v if x < length]) for k, v in places.items()}
+            slots = 1 + min((left[k] - 1) // len(v) * length + int(v[(left[k] - 1) % len(v)]) for k, v in cut.items())
             full, rest = divmod(slots, length)
-            part[k] = {"first": done[k], "blocks": full * whole[k] + int(np.searchsorted(places[k], rest)), "places": places[k]}
-        out.append({"start": at, "slots": slots, "length": length, "sources": part})
+            gone = {k: full * len(v) + int(np.searchsorted(v, rest)) for k, v in cut.items()}
+            for k, v in cut.items():
+                found[k].append((done[k], at, length, v))
         at += slots
-        for k, p in part.items():
-            done[k] += p["blocks"]
-            left[k] -= p["blocks"]
-        left = {k: n for k, n in left.items() if n > 0}
-    return out
+        for k, n in gone.items():
+            done[k] += n
+            left[k] -= n
+            if not left[k]:
+                del left[k]
+                total -= whole[k]
+                after[number[k]] = number[k] + 1
+    return at
 
 
 def default_weights(sizes: dict, temperature: float = 0.7) -> dict:
@@ -143,11 +210,12 @@ def _ranked(docs: DataFrame) -> tuple[DataFrame, dict]:
     return ranked.select("source", "doc_id", (F.col("local") + F.col("before")).alias("rank")), sizes
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, grain: int = GRAIN) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, grain: int | None = None) -> DataFrame:
     """(position, slot, source, block, doc_id): every document's place in the mix.
 
     ``weights`` by source; a source that isn't named gets the least of those
-    given, and without any they are in proportion to size ** 0.7.  ``slot`` numbers blocks over
+    given, and without any they are in proportion to size ** 0.7.  They are exact; ``grain``
+    rounds them to multiples of 1 / grain.  ``slot`` numbers blocks over
     all sources, ``position`` is slot * block_docs + place in the block (the last block of a source may be
     short, so positions ascend but have gaps).  Only source and doc_id are read.
     A null source is one of its own, a null doc_id comes first in its source,
@@ -156,7 +224,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     return _mix(docs, weights, block_docs, grain)[0]
 
 
-def _mix(docs: DataFrame, weights: dict | None, block_docs: int, grain: int = GRAIN) -> tuple[DataFrame, int]:
+def _mix(docs: DataFrame, weights: dict | None, block_docs: int, grain: int | None = None) -> tuple[DataFrame, int]:
     """:func:`mix`, and a number that all positions are below."""
     ship(docs.sparkSession)
     ranked, sizes = _ranked(docs)
@@ -164,13 +232,9 @@ def _mix(docs: DataFrame, weights: dict | None, block_docs: int, grain: int = GR
         weights = default_weights(sizes)
     least = min(weights.values(), default=1)
     weights = {k: weights.get(k, least) for k in sizes}
-    plan = epochs({k: -(-n // block_docs) for k, n in sizes.items()}, weights, grain)
-    by_source: dict = {}
-    for e in plan:
-        for k, p in e["sources"].items():
-            if p["blocks"]:
-                by_source.setdefault(k, []).append((p["first"], e["start"], e["length"], np.array(p["places"])))
-    shared = docs.sparkSession.sparkContext.broadcast(by_source)  # at most GRAIN places for each epoch
+    plan, slots = epochs({k: -(-n // block_docs) for k, n in sizes.items()}, weights, grain)
+    by_source = {k: [(first, start, length, np.array(places, np.int64)) for first, start, length, places in v] for k, v in plan.items()}
+    shared = docs.sparkSession.sparkContext.broadcast(by_source)  # at most a number for each block
 
     def place(batches):
         known = shared.value
@@ -194,7 +258,7 @@ def _mix(docs: DataFrame, weights: dict | None, block_docs: int, grain: int = GR
             yield pa.RecordBatch.from_arrays([pa.array(position), pa.array(slot), batch.column(0), pa.array(block), batch.column(1)], ["position", "slot", "source", "block", "doc_id"])
 
     placed = ranked.mapInArrow(place, "position long, slot long, source string, block long, doc_id long")
-    return placed, max(1, sum(e["slots"] for e in plan) * block_docs)
+    return placed, max(1, slots * block_docs)
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:

@@ -82,3 +82,29 @@ def test_awkward_rows(awkward, empty):
     out = M.mixed(awkward)
     assert out.columns == awkward.columns and sorted(map(str, out.collect())) == sorted(map(str, awkward.collect()))
     assert M.mix(empty).count() == 0 and M.mixed(empty).count() == 0
+
+
+@pytest.mark.parametrize("given", [dict.fromkeys((f"s{i}" for i in range(20)), 1), {"s0": 0.7, "s1": 0.29999, "s2": 0.00001}])
+def test_deviation_from_the_given_weights_stays_below_one_block(spark, given):
+    total = sum(map(Fraction, given.values()))
+    rows = 9_000
+    docs = spark.range(rows * len(given)).selectExpr("id AS doc_id", f"concat('s', id % {len(given)}) AS source")
+    order = [r.source for r in sorted(M.mix(docs, given, block_docs=1).collect(), key=lambda r: r.slot)]
+    had, most = dict.fromkeys(given, 0), 0
+    for t, k in enumerate(order[:rows], 1):  # within the first epoch
+        had[k] += 1
+        most = max(most, *(abs(had[x] - t * Fraction(given[x]) / total) for x in given)) if t % 7 == 0 or t > rows - 50 else most
+    assert most < 1
+
+
+def test_epochs_that_repeat_and_sources_of_no_weight():
+    for blocks, weights in (({"a": 30_000, "b": 9_000, "c": 5}, {"a": 6, "b": 3, "c": 3}), ({"a": 3, "b": 2}, {"a": 1, "b": 0})):
+        found, slots = M.epochs(blocks, weights)
+        place = {}
+        for k, n in blocks.items():
+            starts = [s[0] for s in found[k]]
+            for j in range(n):
+                first, start, length, places = found[k][max(i for i, x in enumerate(starts) if x <= j)]
+                full, rest = divmod(j - first, len(places))
+                place[start + full * length + int(places[rest])] = k, j
+        assert sorted(place) == list(range(slots)) and slots == sum(blocks.values())
