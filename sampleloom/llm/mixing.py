@@ -15,7 +15,8 @@ Weights are taken exactly, so the bounds hold however long an epoch lasts.  Only
 sources and their block counts come to the driver.  It simulates an epoch block by
 block up to its *period* (the sum of the weights in lowest terms), and from there
 the slots of each source are found from its own numbers; a number is kept for each
-simulated block, so driver time and memory follow the blocks, not the documents.
+simulated block, so driver time and memory follow the blocks, not the documents.  Any number of
+sources will do.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ from sampleloom.shipping import ship
 BLOCK_DOCS = 64
 #: Where weights are to be rounded, to multiples of 1 / GRAIN.  An epoch is looked at for a shorter period so many slots after each source could have one.
 GRAIN = 1 << 12
-#: Most sources that have a weight each.
-MAX_SOURCES = 1 << 12
 
 
 def integer_weights(weights: dict, grain: int = GRAIN) -> dict:
@@ -180,9 +179,10 @@ def _run(left: dict, found: dict, at: int, weights: dict, grain: int | None = No
 
 
 def default_weights(sizes: dict, temperature: float = 0.7) -> dict:
-    """Weights in proportion to size ** temperature, as fractions of a million."""
+    """Weights in proportion to size ** temperature, as fractions of a million (of a thousand times the sources, where those are more)."""
+    unit = max(1_000_000, 1000 * len(sizes))
     total = sum(float(n) ** temperature for n in sizes.values())
-    return {k: max(1, round(1_000_000 * float(n) ** temperature / total)) for k, n in sizes.items()}
+    return {k: max(1, round(unit * float(n) ** temperature / total)) for k, n in sizes.items()}
 
 
 def _ranked(docs: DataFrame) -> tuple[DataFrame, dict]:
@@ -203,9 +203,7 @@ def _ranked(docs: DataFrame) -> tuple[DataFrame, dict]:
     offsets = counts.select("name", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     local = F.row_number().over(Window.partitionBy("name", "part").orderBy("doc_id")).cast("long") - 1
     ranked = keys.withColumn("local", local).join(offsets.hint("shuffle_hash"), ["name", "part"])
-    found = counts.groupBy("name").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: weights are for fewer, larger ones")
+    found = counts.groupBy("name").agg(F.sum("n").alias("n")).collect()  # a row for each source
     sizes = {r["name"][1:] if r["name"] else None: r["n"] for r in found}
     return ranked.select("source", "doc_id", (F.col("local") + F.col("before")).alias("rank")), sizes
 

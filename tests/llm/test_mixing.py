@@ -108,3 +108,11 @@ def test_epochs_that_repeat_and_sources_of_no_weight():
                 full, rest = divmod(j - first, len(places))
                 place[start + full * length + int(places[rest])] = k, j
         assert sorted(place) == list(range(slots)) and slots == sum(blocks.values())
+
+
+def test_any_number_of_sources(spark):
+    docs = spark.range(12_500).selectExpr("id AS doc_id", "concat('s', id % 5000) AS source")
+    got = M.mix(docs, block_docs=2).collect()
+    assert len({r.position for r in got}) == 12_500
+    blocks = {(r.source, r.block): r.slot for r in got}
+    assert sorted(blocks.values()) == list(range(len(blocks))) and len(blocks) == 7_500
