@@ -29,8 +29,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document in training sequences of ``packing.CAPACITY`` tokens."""
-    return packing.pack(docs)
+    """The place of each document in training sequences of ``packing.CAPACITY`` tokens; sequences follow the order of the rows as written."""
+    return packing.pack(docs, order=packing.written_order(docs))
 
 
 STAGES = [

@@ -21,7 +21,8 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.llm.storage import materialize
@@ -141,13 +142,28 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in runs.items()}
 
 
-def _pieces(docs: DataFrame, capacity: int, length_sql: str) -> DataFrame:
-    """(doc_id, length, part): the whole documents' lengths with a range number for ranking."""
+def written_order(docs: DataFrame) -> Column | None:
+    """A number for each row of a table read from Parquet files that ascends in the order the rows were written in; else None.
+
+    Spark numbers the files by partition; the reader may take them up in any order.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018 - resolves the names
+    except AnalysisException:
+        return None
+    number = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)-', 1) AS LONG)"), F.lit(0))
+    return F.shiftleft(number, 40) + F.col("_metadata.row_index")
+
+
+def _pieces(docs: DataFrame, capacity: int, length_sql: str, order: Column | None = None) -> DataFrame:
+    """(doc_id, tokens) of the documents with tokens, and their order, if one is given, as at."""
     length = F.coalesce(F.expr(length_sql), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", length.alias("tokens")).where("tokens > 0")
+    at = [] if order is None else [order.cast("long").alias("at")]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *at)
+    return narrow.select("doc_id", length.alias("tokens"), *(["at"] if at else [])).where("tokens > 0")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL, order: Column | None = None) -> DataFrame:
     """(doc_id, piece, bin_id, bin_offset, length): where each piece of each document lies.
 
     ``piece`` numbers a document's pieces from 0; all but the last of them fill a
@@ -155,17 +171,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL
     empty and blank texts) take no bin.  A null doc_id is packed like any other.
     Rows that repeat a doc_id are packed one by one; equal documents are
     interchangeable.  An empty table gives no rows.
+
+    With ``order``, a number for each row, documents of equal length take their
+    places in that order instead of that of doc_id, and bins are numbered by the
+    least order among their pieces, so bins follow the order as nearly as the
+    plan lets them.
     """
     spark = docs.sparkSession
     ship(spark)
-    sized = materialize(_pieces(docs, capacity, length_sql), "lengths")
+    by = "doc_id" if order is None else "at"
+    sized = materialize(_pieces(docs, capacity, length_sql, order), "lengths")
     # the last piece of each document is what is planned; its length is 1 .. capacity
     tail = F.expr(f"CAST((tokens - 1) % {capacity} + 1 AS INT)")
-    bounds = sized.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    bounds = sized.agg(F.min(by), F.max(by), F.count("*")).first()
     low, high, rows = bounds[0] or 0, bounds[1] or 0, bounds[2]
     ranges = max(1, min(4096, rows // 200_000))
     width = (high - low) // ranges + 1
-    items = sized.withColumn("tail", tail).withColumn("part", F.coalesce(F.expr(f"CAST((doc_id - {low}L) div {width}L AS INT)"), F.lit(-1)))
+    part = F.coalesce(F.expr(f"CAST(({by} - {low}L) div {width}L AS INT)"), F.lit(-1))
+    items = sized.withColumn("tail", tail).withColumn("part", part)
     counts = materialize(items.groupBy("tail", "part").agg(F.count("*").alias("n"), F.sum(F.expr(f"(tokens - 1) div {capacity}")).alias("full")), "length-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     full_bins = 0
@@ -177,9 +200,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL
     shared = spark.sparkContext.broadcast(slots)  # its size depends on capacity, not on the corpus
     by_part = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("tail", "part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"))
-    order = Window.partitionBy("tail", "part").orderBy("doc_id", "tokens")
-    ranked = items.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(before.hint("shuffle_hash"), ["tail", "part"])
-    tails = ranked.select("doc_id", "tokens", "tail", (F.col("rank") + F.col("before")).alias("rank"))
+    in_part = Window.partitionBy("tail", "part").orderBy(by, "tokens")
+    ranked = items.withColumn("rank", F.row_number().over(in_part).cast("long") - 1).join(before.hint("shuffle_hash"), ["tail", "part"])
+    extra = [] if order is None else ["at"]
+    tails = ranked.select("doc_id", "tokens", "tail", (F.col("rank") + F.col("before")).alias("rank"), *extra)
 
     def place(batches):
         known = shared.value
@@ -196,20 +220,32 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL
                 offset[sel] = off[run]
             piece = (np.asarray(batch.column(1)) - 1) // capacity
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(piece), pa.array(bin_id), pa.array(offset), pa.array(length)], ["doc_id", "piece", "bin_id", "bin_offset", "length"]
+                [batch.column(0), pa.array(piece), pa.array(bin_id), pa.array(offset), pa.array(length), *batch.columns[4:]], ["doc_id", "piece", "bin_id", "bin_offset", "length", *extra]
             )
 
     schema = "doc_id long, piece long, bin_id long, bin_offset long, length long"
-    packed = tails.mapInArrow(place, schema)
+    packed = tails.mapInArrow(place, schema + ", at long" * len(extra))
     if not full_bins:
-        return packed
+        return packed if order is None else _in_order(packed, part)
     # Full bins are numbered after all others: by ranges of documents, then within each.
     planned = sum(n for _, n in plan)
     long_docs = items.where(f"tokens > {capacity}").withColumn("full", F.expr(f"(tokens - 1) div {capacity}"))
     by_range = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(by_range), F.lit(0)).alias("before"))
-    running = F.sum("full").over(Window.partitionBy("part").orderBy("doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")
+    running = F.sum("full").over(Window.partitionBy("part").orderBy(by, "tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")
     numbered = long_docs.withColumn("start", running).join(starts.hint("shuffle_hash"), "part")
-    pieces = numbered.select("doc_id", F.posexplode(F.expr(f"sequence({planned}L + before + start, {planned}L + before + start + full - 1)")).alias("piece", "bin_id"))
-    whole = pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "bin_id", F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("length"))
-    return packed.unionByName(whole)
+    pieces = numbered.select("doc_id", *extra, F.posexplode(F.expr(f"sequence({planned}L + before + start, {planned}L + before + start + full - 1)")).alias("piece", "bin_id"))
+    whole = pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "bin_id", F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("length"), *extra)
+    packed = packed.unionByName(whole)
+    return packed if order is None else _in_order(packed, part)
+
+
+def _in_order(packed: DataFrame, part: Column) -> DataFrame:
+    """Numbers the bins anew, by the least ``at`` among their pieces; ``part`` makes ranges of ``at``."""
+    first = packed.withColumn("at", F.min("at").over(Window.partitionBy("bin_id"))).withColumn("part", part)
+    first = materialize(first, "bins")
+    ranked = first.withColumn("rank", F.dense_rank().over(Window.partitionBy("part").orderBy("at", "bin_id")).cast("long") - 1)
+    counts = first.where("bin_offset = 0").groupBy("part").agg(F.count("*").alias("n"))  # at most 4096 ranges
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = ranked.join(before.hint("broadcast"), "part")
+    return numbered.select("doc_id", "piece", (F.col("rank") + F.col("before")).alias("bin_id"), "bin_offset", "length")

@@ -50,3 +50,22 @@ def test_stages_are_the_named_ones():
     assert [n for n, _ in C.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
     assert C.ORACLE_SQL is None
     assert all((mixing, packing, quality, simhash, substrings))
+
+
+def test_mixing_decides_the_order_of_the_bins(spark, tmp_path, monkeypatch):
+    # one length and more documents than a file's worth, so that only their order tells the bins apart
+    rows = [row(i, prose(f"m{i}", 700), source="s0" if i < 150 else f"s{i % 3}") for i in range(400)]
+    docs_of(spark, rows).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, r.bin_id, r.bin_offset) for r in C.run(spark, str(tmp_path)).collect()]
+    assert len(got) == 400
+    place = {r.doc_id: r.position for r in mixing.mix(docs_of(spark, rows)).collect()}
+    by_bin = [d for d, _, _ in sorted(got, key=lambda x: x[1])]
+    size = {b: sum(1 for x in got if x[1] == b) for _, b, _ in got}
+    assert sorted(size) == list(range(len(size)))
+    # bins of three take the documents of the mix in turn: each the k-th of three runs, in ascending order
+    firsts = {}
+    for d, b, _ in got:
+        firsts[b] = min(firsts.get(b, 1 << 60), place[d])
+    assert [firsts[b] for b in sorted(firsts)] == sorted(firsts.values()) and len(by_bin) == 400
+    monkeypatch.setattr(C, "STAGES", [x for x in C.STAGES if x[0] != "source_mixing"])
+    assert sorted((r.doc_id, r.bin_id, r.bin_offset) for r in C.run(spark, str(tmp_path)).collect()) != sorted(got)
