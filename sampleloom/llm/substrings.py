@@ -191,7 +191,7 @@ _SPAN = "doc_id long, row long, start int, stop int, kept boolean"
 
 
 def _group(window: int):
-    """Groups windows exactly; the rows come sorted by anchor.  Emits spans of repeated windows."""
+    """Groups windows exactly; the rows come sorted by anchor, doc_id, row and start, so the first piece of an anchor has the first places.  Emits spans of repeated windows."""
 
     def solve(t: pa.Table, firsts):
         anchor, doc, row, start = (np.asarray(t.column(c)) for c in ("anchor", "doc_id", "row", "start"))
@@ -320,7 +320,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     width = sketch_width(int(total), max_sketch_bytes)
     bits = spark.sparkContext.broadcast(repeated_bits(narrow, width, window, anchor))
     runs = narrow.mapInArrow(_runs(bits, width, window, anchor), _RUN)
-    spans = runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_group(window), _SPAN)
+    spans = runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "start").mapInArrow(_group(window), _SPAN)
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "row").mapInArrow(_span_batches, _SPAN)
 
 

@@ -99,3 +99,16 @@ def test_rows_that_repeat_a_document_are_one_place(spark):
     docs = docs_of(spark, [row(1, prose(1, 80)), row(1, prose(1, 80))])
     assert S.repeated_passages(docs).count() == 0
     assert S.drop_repeated_passages(docs).count() == 2
+
+
+def test_one_anchor_over_many_pieces_has_one_first_place(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD", 50)
+    shared = prose("boilerplate", 20)  # 9 windows of 12 words
+    rows = [(i, prose(f"l{i}", 5) + " " + shared + " " + prose(f"r{i}", 5)) for i in range(120)]
+    rows = rows[60:] + rows[:60][::-1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        spans = S.repeated_spans(docs_of(spark, [row(*x) for x in rows]).repartition(5), window=12, anchor=6)
+        assert found(spans) == brute(rows, 12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
