@@ -13,10 +13,15 @@ block list by naming an allowed page as its canonical address.
 
 from __future__ import annotations
 
+import html
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.llm.components import connected_components
+from sampleloom.shipping import ship
 
 #: Domains that are blocked with all their hosts.
 BLOCKED_DOMAINS = ("adult-x.example.com", "spam-farm.example.org", "cheap-pills.example.net", "ads-track.example.com", "casino-win.example.net", "free-bets.example.net")
@@ -68,19 +73,39 @@ _CANONICAL = r"""(?i)<link\s[^>]*rel=["']?canonical["']?[^>]*>"""
 _REFRESH = r"""(?i)<meta\s[^>]*http-equiv=["']?refresh["']?[^>]*>"""
 
 
+_BASE = r"""(?i)<base\s[^>]*href=["']?([^"'\s>]+)"""
+_HREF = r"""(?i)\shref\s*=\s*["']?([^"'\s>]+)"""
+_URL = r"""(?i)url\s*=\s*["']?([^"'\s>]+)"""
+
+
+def _resolve(urls: pd.Series, bases: pd.Series, targets: pd.Series) -> pd.Series:
+    """The targets as a browser at those URLs takes them, null where that is no address of a host."""
+
+    def one(url, base, target):
+        try:
+            at = url.strip() if "://" in url else "http://" + url.strip()
+            full = urljoin(urljoin(at, html.unescape(base)) if base else at, html.unescape(target))
+            return full if urlsplit(full).netloc else None
+        except ValueError:  # such as a bracket in a host
+            return None
+
+    return pd.Series([one(*x) for x in zip(urls, bases, targets)], dtype=object)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of normalised addresses: from pages with a canonical link or a refresh redirect to its target.
+    """(src, dst) of normalised addresses: from pages to the target of each of their canonical links and refresh redirects.
 
-    A target that begins with a slash belongs to the page's host; other relative targets are left out.
+    Relative targets are resolved against the page's ``base href``, where it has one, and its URL.
     """
-    html = F.col("html").cast("string")
-    marked = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    link = F.regexp_extract(html, _CANONICAL, 0)
-    meta = F.regexp_extract(html, _REFRESH, 0)
-    targets = F.array(F.regexp_extract(link, r"""(?i)href=["']?([^"'\s>]+)""", 1), F.regexp_extract(meta, r"""(?i)url=["']?([^"'\s>]+)""", 1))
-    found = marked.select(F.col("url").cast("string").alias("url"), F.explode(targets).alias("to")).where("to <> '' AND url IS NOT NULL")
-    full = F.expr("CASE WHEN startswith(to, '//') THEN to WHEN startswith(to, '/') THEN concat(regexp_extract(url, '^([A-Za-z]+://)?[^/?#]*', 0), to) ELSE to END")
-    found = found.withColumn("to", F.regexp_replace(full, "^//", "http://")).where("to RLIKE '^[A-Za-z][A-Za-z0-9+.-]*://'")
+    text = F.col("html").cast("string")
+    marked = pages.where(F.lower(text).contains("canonical") | F.lower(text).contains("refresh"))
+    tags = F.concat(
+        F.transform(F.regexp_extract_all(text, F.lit(_CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, _HREF, 1)),
+        F.transform(F.regexp_extract_all(text, F.lit(_REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, _URL, 1)),
+    )
+    found = marked.select(F.col("url").cast("string").alias("url"), F.regexp_extract(text, _BASE, 1).alias("base"), F.explode(tags).alias("to"))
+    resolve = F.pandas_udf(_resolve, "string")
+    found = found.where("to <> '' AND url IS NOT NULL").select("url", resolve("url", "base", "to").alias("to")).where("to IS NOT NULL")
     return found.select(F.expr(normalised("url")).alias("src"), F.expr(normalised("to")).alias("dst"))
 
 
@@ -97,6 +122,7 @@ def decide(
     a null html has no links.  Repeated rows are decided alike, each on its
     own; an empty table gives no rows.
     """
+    ship(pages.sparkSession)
     edges = page_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.expr(normalised("CAST(src AS STRING)")).alias("src"), F.expr(normalised("CAST(dst AS STRING)")).alias("dst")))
@@ -113,7 +139,7 @@ def decide(
 
 
 def decide_sql(blocked: tuple[str, ...] = BLOCKED_DOMAINS, allowed: tuple[str, ...] = ALLOWED_DOMAINS) -> str:
-    """DuckDB SQL for :func:`decide` over a table ``pages``."""
+    """DuckDB SQL for :func:`decide` over a table ``pages``; of links it takes a page's first of each kind, if absolute or from the root."""
     link = f"regexp_extract(html, '{_CANONICAL.replace(chr(39), chr(39) * 2)}', 0)"
     meta = f"regexp_extract(html, '{_REFRESH.replace(chr(39), chr(39) * 2)}', 0)"
     value = r"""=["'']?([^"''\s>]+)"""

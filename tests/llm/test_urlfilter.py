@@ -62,3 +62,26 @@ def test_sql_says_the_same(spark):
 def test_empty_and_null(spark):
     assert U.decide(pages(spark, [])).count() == 0
     assert [tuple(r) for r in U.decide(pages(spark, [(None, None, None)])).collect()] == [(None, None, "pass")]
+
+
+@pytest.mark.parametrize(
+    ("url", "html"),
+    [
+        ("http://a.com/d/p.html", link("bad.html")),
+        ("http://a.com/d/e/p", link("../bad.html")),
+        ("http://a.com/d/p", '<meta http-equiv="refresh" content="0; url=bad.html">'),
+        ("http://a.com/x", '<base href="http://a.com/d/">' + link("bad.html")),
+        ("http://a.com/x", link("http://fine.com/") + link("/d/bad.html")),
+        ("http://a.com/x", '<meta http-equiv=refresh content="1;url=/y"><meta http-equiv=refresh content="2;url=d/bad.html">'),
+        ("a.com/d/x", link("./bad.html")),
+    ],
+)
+def test_every_link_of_a_page_is_an_edge(spark, url, html):
+    rows = [(1, url, html), (2, "http://a.com/d/bad.html", link("http://evil.com/")), (3, "http://a.com/q", link("mailto:x@evil.com"))]
+    got = {r.page_id: r.decision for r in U.decide(pages(spark, rows), None, ("evil.com",), ()).collect()}
+    assert got == {1: "block", 2: "block", 3: "pass"}
+
+
+def test_query_targets_are_resolved(spark):
+    rows = [(1, "http://a.com/d/p?id=1", link("?id=2")), (2, "http://a.com/d/p?id=2", link("http://evil.com/"))]
+    assert {r.decision for r in U.decide(pages(spark, rows), None, ("evil.com",), ()).collect()} == {"block"}
