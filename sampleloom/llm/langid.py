@@ -30,6 +30,8 @@ DIM = BUCKETS * len(NGRAMS)
 #: Most labelled rows that are fitted on, and of those the share held out for calibration.
 TRAIN_ROWS = 4000
 HELD_OUT = 0.2
+#: Rows that each language has in the sample, as far as it has so many and they fit into half of the sample.
+LEAST_ROWS = 40
 _GRAIN = 1 << 40
 _MULT = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
 
@@ -148,7 +150,7 @@ class FtrlRegression:
                 self.z[idx] += g - sigma * w
                 self.n[idx] = n + g * g
 
-    def calibrate(self, rows: list, labels: list) -> None:
+    def calibrate(self, rows: list, labels: list, weights: list | None = None) -> None:
         """The temperature (on a grid of powers) with the least log loss on held-out rows."""
         if not rows:
             return
@@ -157,7 +159,7 @@ class FtrlRegression:
         best = None
         for t in np.exp(np.linspace(-3, 3, 121)):
             x = s / t
-            loss = float(np.mean(np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) + x.max(1) - x[np.arange(len(y)), y]))
+            loss = float(np.average(np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) + x.max(1) - x[np.arange(len(y)), y], weights=weights))
             if best is None or loss < best[0] - 1e-12:
                 best = (loss, float(t))
         self.temperature = best[1]
@@ -194,12 +196,27 @@ class LanguageModel:
         return out
 
 
+def quotas(counts: dict, rows: int) -> dict:
+    """Rows of the sample for each language, in proportion to its rows but LEAST_ROWS where it has them."""
+    least = max(10, min(LEAST_ROWS, rows // (2 * max(len(counts), 1))))
+    fixed: dict = {}
+    while True:  # the languages below their least leave the rest to the others
+        others = {k: n for k, n in counts.items() if k not in fixed}
+        share = max(0, rows - sum(fixed.values())) / max(1, sum(others.values()))
+        low = {k: min(n, least) for k, n in others.items() if n * share < min(n, least)}
+        if not low:
+            return fixed | {k: n * min(1.0, share) for k, n in others.items()}
+        fixed |= low
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """A model of the languages in ``docs.lang``.
 
-    About ``rows`` labelled rows at most are fitted on: those whose hash of (doc_id,
-    text) is below a bound, hence a uniform sample that doesn't depend on order
-    or partitions.  Rows with a null text or language aren't labelled.  Without any there is
+    The classes are the languages of all labelled rows.  About ``rows`` of these at most
+    are fitted on (more only where languages are so many that ten rows of each, or all of those of
+    LEAST_ROWS rows or fewer, are more): of each language those
+    whose hash of (doc_id, text) is below a bound of its own, hence samples that don't depend
+    on order or partitions.  The temperature weighs the held-out rows by what they stand for.  Rows with a null text or language aren't labelled.  Without any there is
     one class, null.
     """
     spark = docs.sparkSession
@@ -208,9 +225,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     idf = idf_weights(df, n)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where("text IS NOT NULL AND trim(text) <> '' AND lang IS NOT NULL")
-    total = docs.where("lang IS NOT NULL").count()
-    cut = int(_GRAIN * min(1.0, rows / max(total, 1)))
-    chosen = labelled.select(F.xxhash64("doc_id", "text").alias("k"), "lang", "text").where(f"pmod(k, {_GRAIN}) < {cut}")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # a language of few rows is taken whole, so that none is left out by chance
+    cuts = [(k, _GRAIN if n <= LEAST_ROWS else int(_GRAIN * q / n)) for k, q in quotas(counts, rows).items() for n in [counts[k]]]
+    bounds = F.broadcast(spark.createDataFrame(cuts, "lang string, cut long"))
+    hashed = labelled.select(F.xxhash64("doc_id", "text").alias("k"), "lang", "text")
+    chosen = hashed.join(bounds, "lang").where(f"pmod(k, {_GRAIN}) < cut")
     shared = spark.sparkContext.broadcast(idf)
 
     def features(batches):
@@ -222,13 +242,18 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     # texts stay on the executors; the driver gets the features of about ``rows`` rows
     sample = chosen.select("lang", "text", "k").mapInArrow(features, "lang string, k long, at binary, value binary").collect()
     sample.sort(key=lambda r: (r["k"], r["lang"], bytes(r["at"]), bytes(r["value"])))
-    classes = sorted({r["lang"] for r in sample}) or [None]
+    classes = sorted(counts) or [None]
     features = [(np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["value"]), np.float32)) for r in sample]
     labels = [classes.index(r["lang"]) for r in sample]
-    held = int(len(sample) * HELD_OUT)
+    mine: dict = {}
+    for i, c in enumerate(labels):
+        mine.setdefault(c, []).append(i)
+    held = sorted(i for v in mine.values() for i in v[: max(int(len(v) * HELD_OUT), len(v) > 1)])
+    fitted = sorted(set(range(len(labels))).difference(held))
+    share = {c: counts[classes[c]] / len(set(v).intersection(held)) for c, v in mine.items() if len(v) > 1}
     model = FtrlRegression(classes)
-    model.fit(features[held:], labels[held:])
-    model.calibrate(features[:held], labels[:held])
+    model.fit([features[i] for i in fitted], [labels[i] for i in fitted])
+    model.calibrate([features[i] for i in held], [labels[i] for i in held], [share[labels[i]] for i in held])
     return LanguageModel(model, idf)
 
 

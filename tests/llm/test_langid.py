@@ -61,3 +61,16 @@ def test_awkward_rows(spark, awkward, empty):
     assert L.identify(empty).count() == 0
     nothing = docs_of(spark, [row(1, "words", None)])
     assert L.identify(nothing).first().predicted is None
+
+
+def test_rare_languages_are_classes(spark):
+    rows = [r for r in texts(2400, 5) if r[2] != "fr"]
+    rare = [(10_000 + i, r[1], *r[2:]) for i, r in enumerate(x for x in texts(36, 6) if x[2] == "fr")]
+    docs = docs_of(spark, rows + rare)
+    model = L.train(docs, rows=60)
+    assert model.classes == ["de", "en", "fr"]
+    got = {r.doc_id: r.predicted for r in L.identify(docs, model).collect()}
+    assert np.mean([got[r[0]] == "fr" for r in rare]) >= 0.9
+    assert np.mean([got[r[0]] == r[2] for r in rows]) >= 0.9
+    assert round(sum(L.quotas({"a": 10**7, "b": 1000, "c": 3}, 4000).values()), 6) <= 4000
+    assert L.quotas({"a": 10**7, "b": 1000, "c": 3}, 4000)["b"] == 40
