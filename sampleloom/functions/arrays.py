@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleloom.types import INDEX, axis, column_type, element, is_bytes, rank, require
+from sampleloom.types import INDEX, axis, column_type, element, fresh, is_bytes, rank, require
 
 
 def as_bytes(df: DataFrame, key: str) -> Column:
@@ -183,11 +183,12 @@ def remove_value(df: DataFrame, key: str, size_key: str, dim: int, value: float,
         raise ValueError("values are removed along the only dimension")
     x = F.col(f"`{key}`")
     left = F.filter(F.slice(x, 1, F.greatest(F.least(F.col(f"`{size_key}`").cast("int"), F.size(x)), F.lit(0))), lambda v: v != F.lit(value))
-    kept = df.withColumn("__left", left)
-    n = F.size("__left")
+    name = fresh(df, "__left")
+    kept = df.withColumn(name, left)
+    n = F.size(name)
     fill = F.lit(pad).cast(element(dt))
-    out = kept.withColumn(key, F.concat("__left", F.array_repeat(fill, F.greatest(F.size(x) - n, F.lit(0)))))
-    return out.withColumn(size_key, n.cast("long")).drop("__left")
+    out = kept.withColumn(key, F.concat(name, F.array_repeat(fill, F.greatest(F.size(x) - n, F.lit(0)))))
+    return out.withColumn(size_key, n.cast("long")).drop(name)
 
 
 def uniq(x: Column, length: Column | None = None) -> Column:
@@ -201,10 +202,11 @@ def uniq_key(df: DataFrame, key: str, size_key: str = "", pad: float = 0, output
     dt = column_type(df, key)
     x = F.col(f"`{key}`")
     length = F.least(F.col(f"`{size_key}`").cast("int"), F.size(x)) if size_key and size_key in df.columns else None
-    kept = df.withColumn("__left", uniq(x, length)).withColumn("__all", F.size(x))
-    fill = F.array_repeat(F.lit(pad).cast(element(dt)), F.col("__all") - F.size("__left"))
-    out = kept.withColumn(output_key or key, F.concat("__left", fill))
-    return (out.withColumn(size_key, F.size("__left").cast("long")) if size_key else out).drop("__left", "__all")
+    left, whole = fresh(df, "__left"), fresh(df, "__all")
+    kept = df.withColumn(left, uniq(x, length)).withColumn(whole, F.size(x))
+    fill = F.array_repeat(F.lit(pad).cast(element(dt)), F.col(whole) - F.size(left))
+    out = kept.withColumn(output_key or key, F.concat(left, fill))
+    return (out.withColumn(size_key, F.size(left).cast("long")) if size_key else out).drop(left, whole)
 
 
 def shape(df: DataFrame, key: str, output_key: str, dim: int | None = None) -> DataFrame:
@@ -230,9 +232,10 @@ def filter_by_shape(df: DataFrame, key: str, dim: int, low: int = -1, high: int
         n = rank(dt)
         if not -n <= dim < n:
             return df.where(F.lit(False))
-    out = shape(df, key, "__extent", dim)
+    extent = fresh(df, "__extent")
+    out = shape(df, key, extent, dim)
     if low >= 0:
-        out = out.where(F.col("__extent") >= low)
+        out = out.where(F.col(extent) >= low)
     if high >= 0:
-        out = out.where(F.col("__extent") <= high)
-    return out.where(F.col("__extent").isNotNull()).drop("__extent")
+        out = out.where(F.col(extent) <= high)
+    return out.where(F.col(extent).isNotNull()).drop(extent)

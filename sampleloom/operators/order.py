@@ -1,18 +1,18 @@
 """Row order: a contiguous index from 0, and what depends on it.
 
 Rows of a DataFrame have no order of their own, so ordered operators need the
-column ``__idx``.  Nothing here sorts or numbers rows within one task.
+column ``__idx``.  Rows are numbered by ranges of ``RANGE_ROWS``, each within one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleloom.types import INDEX, require
+from sampleloom.types import INDEX, fresh, require
 
 #: Rows of a list that are cheap to send with each task.
 SMALL_LIST = 100_000
@@ -21,38 +21,55 @@ RANGE_ROWS = 250_000
 MAX_RANGES = 1024
 
 
+def range_number(x: Column, bounds: Sequence) -> Column:
+    """How many of the ascending ``bounds`` are at most x, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*(b if isinstance(b, Column) else F.lit(b) for b in bounds))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    # past the last bound get() is null, which is not at most x
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) <= x, step).otherwise(F.lit(0)))
+    return F.coalesce(found, F.lit(0))
+
+
+def _literal(v, dt: T.DataType) -> Column:
+    return F.struct(*(F.lit(x).cast(f.dataType) for x, f in zip(v, dt.fields)))
+
+
 def with_index(df: DataFrame, *order: str | Column, index: str = INDEX) -> DataFrame:
     """Adds the contiguous index of the rows in the given order.
 
-    Rows fall into ranges of the first key, whose bounds come from a sample and
+    Rows fall into ranges of the keys, whose bounds come from a sample and
     are fixed in the plan; the ranges' sizes give offsets, and each row's number is its
-    range's offset plus its place there.  Ties are broken arbitrarily, so the
+    range's offset plus its place there.  Up to ``RANGE_ROWS`` rows are one range.  Ties are broken arbitrarily, so the
     keys should be unique.
     """
     if not order:
         raise ValueError("an order is needed: rows have none of their own")
     names = df.columns
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.select("*", *(k.alias(f"__k{i}") for i, k in enumerate(keys)))
-    by = [F.col(f"__k{i}") for i in range(len(keys))]
-    ranges = int(min(MAX_RANGES, df.count() // RANGE_ROWS + 1))
+    key, part = fresh(df, "__k"), fresh(df, "__part")
+    keyed = df.select("*", F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order))).alias(key))
+    # one job: the least hashes are a uniform sample of the keys, and rows are counted as they pass
+    rows = Observation()
+    hashed = keyed.select(key).observe(rows, F.count(F.lit(1)).alias("n"))
+    some = hashed.orderBy(F.xxhash64(key), key).limit(20 * MAX_RANGES).collect()
+    ranges = int(min(MAX_RANGES, rows.get["n"] // RANGE_ROWS + 1))
     if ranges == 1:
-        place, before = F.row_number().over(Window.orderBy(*by)), F.lit(0)
+        place, before = F.row_number().over(Window.orderBy(key)), F.lit(0)
     else:
-        # the least hashes are a uniform sample of the key's values
-        some = keyed.select("__k0").where("__k0 IS NOT NULL").distinct().orderBy(F.xxhash64("__k0")).limit(20 * ranges).sort("__k0").collect()
-        bounds = [r[0] for r in some[:: max(1, len(some) // ranges)]]
-        part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("__k0"))), F.lit(0))
-        keyed = keyed.withColumn("__part", part)
-        sizes = {r[0]: r[1] for r in keyed.groupBy("__part").count().collect()}  # at most MAX_RANGES rows
+        kind = keyed.schema[key].dataType
+        sorted_keys = sorted({tuple(r[0]) for r in some if None not in tuple(r[0])}) if some else []
+        bounds = [_literal(v, kind) for v in sorted_keys[:: max(1, len(sorted_keys) // ranges)]]
+        keyed = keyed.withColumn(part, range_number(F.col(key), bounds))
+        sizes = {r[0]: r[1] for r in keyed.groupBy(part).count().collect()}  # some MAX_RANGES rows
         offsets, total = [], 0
         for i in range(len(bounds) + 1):
             offsets.append(total)
             total += sizes.get(i, 0)
-        place = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
-        before = F.get(F.array(*(F.lit(n).cast("long") for n in offsets)), F.col("__part"))
+        place = F.row_number().over(Window.partitionBy(part).orderBy(key))
+        before = F.get(F.array(*(F.lit(n).cast("long") for n in offsets)), F.col(part))
     numbered = keyed.withColumn(index, place.cast("long") - 1 + before)
-    return numbered.select(*(c for c in names if c != index), index)
+    return numbered.select(*(F.col(f"`{c}`") for c in names if c != index), index)
 
 
 def partition(df: DataFrame, num_partitions: int, p: int) -> DataFrame:
@@ -70,8 +87,9 @@ def append(left: DataFrame, right: DataFrame) -> DataFrame:
     require(right, INDEX)
     if set(left.columns) != set(right.columns):
         raise KeyError("both need the same keys")
-    size = left.agg((F.coalesce(F.max(INDEX), F.lit(-1)) + 1).alias("__size"))
-    shifted = right.crossJoin(F.broadcast(size)).withColumn(INDEX, F.col(INDEX) + F.col("__size")).drop("__size")  # one row
+    n = fresh(right, "__size")
+    size = left.agg((F.coalesce(F.max(INDEX), F.lit(-1)) + 1).alias(n))
+    shifted = right.crossJoin(F.broadcast(size)).withColumn(INDEX, F.col(INDEX) + F.col(n)).drop(n)  # one row
     return left.unionByName(shifted)
 
 
@@ -85,17 +103,23 @@ def perm(df: DataFrame, indices: Sequence[int]) -> DataFrame:
     size = df.count()
     if any(not 0 <= i < size for i in indices):
         raise IndexError("index out of range")
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(indices)), T.StructType([T.StructField("__to", T.LongType()), T.StructField("__from", T.LongType())]))
+    to, at = fresh(df, "__to"), fresh(df, "__from")
+    wanted = df.sparkSession.createDataFrame(list(enumerate(indices)), T.StructType([T.StructField(to, T.LongType()), T.StructField(at, T.LongType())]))
     wanted = F.broadcast(wanted) if len(indices) <= SMALL_LIST else wanted
-    return df.join(wanted, F.col(INDEX) == F.col("__from")).withColumn(INDEX, F.col("__to")).drop("__to", "__from")
+    return df.join(wanted, df[INDEX] == wanted[at]).withColumn(INDEX, F.col(to)).drop(to, at)
+
+
+def renumbered(df: DataFrame, *by: Column) -> DataFrame:
+    """The rows with a new index: in the order of ``by``, or that of the old one."""
+    old = fresh(df, "__old")
+    return with_index(df.withColumnRenamed(INDEX, old), *(by or [F.col(old)])).drop(old)
 
 
 def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
     """A permutation by a hash of (seed, index): the same for any partitioning, another for each seed."""
     require(df, INDEX)
-    moved = df.withColumn("__old", F.col(INDEX)).drop(INDEX)
-    return with_index(moved, F.xxhash64(F.lit(seed), F.col("__old")), F.col("__old")).drop("__old")
+    old = fresh(df, "__old")
+    return with_index(df.withColumnRenamed(INDEX, old), F.xxhash64(F.lit(seed), F.col(old)), F.col(old)).drop(old)
 
 
 def stream_shuffle(df: DataFrame, buffer_size: int, seed: int = 0) -> DataFrame:
@@ -106,9 +130,9 @@ def stream_shuffle(df: DataFrame, buffer_size: int, seed: int = 0) -> DataFrame:
     require(df, INDEX)
     if buffer_size <= 1:
         return df
-    h = F.xxhash64(F.lit(seed), F.col(INDEX))
-    moved = df.withColumn("__to", F.col(INDEX) + F.pmod(h, F.lit(buffer_size))).withColumn("__h", h).withColumn("__old", F.col(INDEX)).drop(INDEX)
-    return with_index(moved, "__to", "__h", "__old").drop("__to", "__h", "__old")
+    old = fresh(df, "__old")
+    h = F.xxhash64(F.lit(seed), F.col(old))
+    return with_index(df.withColumnRenamed(INDEX, old), F.col(old) + F.pmod(h, F.lit(buffer_size)), h, F.col(old)).drop(old)
 
 
 def repeat(df: DataFrame, num_time: int) -> DataFrame:
@@ -116,7 +140,8 @@ def repeat(df: DataFrame, num_time: int) -> DataFrame:
     require(df, INDEX)
     if num_time <= 0:
         raise ValueError("endless repetition is for iteration only: see Stream.iterate")
-    passes = df.sparkSession.range(num_time + 1).withColumnRenamed("id", "__pass")
-    size = df.agg(F.count("*").alias("__size"))
+    k, n = fresh(df, "__pass"), fresh(df, "__size")
+    passes = df.sparkSession.range(num_time + 1).withColumnRenamed("id", k)
+    size = df.agg(F.count("*").alias(n))
     out = df.crossJoin(F.broadcast(passes)).crossJoin(F.broadcast(size))  # few numbers, given by the caller
-    return out.withColumn(INDEX, F.col(INDEX) + F.col("__pass") * F.col("__size")).drop("__pass", "__size")
+    return out.withColumn(INDEX, F.col(INDEX) + F.col(k) * F.col(n)).drop(k, n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.functions.arrays import _cut, _length, as_bytes, at_depth
-from sampleloom.types import INDEX, axis, column_type, rank
+from sampleloom.types import INDEX, axis, column_type, fresh, rank
 
 
 def sliding_window(df: DataFrame, key: str, size: int, stride: int, dim: int = -1, index_key: str = "") -> DataFrame:
@@ -30,12 +30,14 @@ def sliding_window(df: DataFrame, key: str, size: int, stride: int, dim: int = -
         inner = F.get(inner, F.lit(0))
     length = _length(inner, sub)
     windows = ((length + stride - 1) / stride).cast("int")
-    rows = df.withColumn("__n", windows).where("__n > 0")
-    rows = rows.withColumn("__w", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    cut = lambda e: _cut(e, sub, F.col("__w") * stride, F.least(F.lit(size), _length(e, sub) - F.col("__w") * stride))
+    count, number = fresh(df, "__n"), fresh(df, "__w")
+    at = F.col(number)
+    rows = df.withColumn(count, windows).where(F.col(count) > 0)
+    rows = rows.withColumn(number, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    cut = lambda e: _cut(e, sub, at * stride, F.least(F.lit(size), _length(e, sub) - at * stride))
     out = rows.withColumn(key, at_depth(x, d, cut))
     if index_key:
-        out = out.withColumn(index_key, F.col("__w").cast("long"))
+        out = out.withColumn(index_key, at.cast("long"))
     if INDEX in df.columns and index_key != INDEX:
-        out = out.withColumn(INDEX, F.col(INDEX) * (1 << 20) + F.col("__w"))
-    return out.drop("__n", "__w")
+        out = out.withColumn(INDEX, F.col(INDEX) * (1 << 20) + at)
+    return out.drop(count, number)

@@ -208,7 +208,7 @@ class Buffer(Dataset):
     def _filtered(self, df: DataFrame):
         if self.strict:
             raise ValueError("a strict buffer can't drop samples: turn it into a stream first")
-        return self._with(order.with_index(df.withColumnRenamed(INDEX, "__old"), "__old").drop("__old"))
+        return self._with(order.renumbered(df))
 
     def __len__(self) -> int:
         return self.df.count()
@@ -306,7 +306,7 @@ class Stream(Dataset):
             return Buffer(self.df, *order_by)
         if INDEX not in self.df.columns:
             raise ValueError("a buffer needs an order: name the keys that give it")
-        return Buffer(order.with_index(self.df.withColumnRenamed(INDEX, "__old"), "__old").drop("__old"))
+        return Buffer(order.renumbered(self.df))
 
 
 _twins(Buffer, ["append", "batch", "dynamic_batch", "partition", "perm", "shuffle", "ordered_prefetch"])

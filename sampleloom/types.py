@@ -38,6 +38,14 @@ def require(df: DataFrame, *keys: str) -> None:
         raise KeyError(f"no such key: {', '.join(missing)}; there are {', '.join(df.columns)}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as make it differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column_type(df: DataFrame, key: str) -> T.DataType:
     require(df, key)
     return df.schema[key].dataType

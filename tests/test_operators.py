@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sampleloom.functions import arrays as A
 from sampleloom.operators import batching as B
 from sampleloom.operators import columns as C
 from sampleloom.operators import order as O
@@ -220,3 +221,27 @@ def test_chains_and_conditions(spark):
     assert [x["i"] for x in odd.to_buffer()] == [0, 2, 4] and odd.to_buffer()[2] == {"i": 4}
     forever = s.iterate(-1)
     assert [next(forever)["i"] for _ in range(8)] == [0, 1, 2, 3, 4, 5, 0, 1]
+
+
+def test_numbering_by_ranges_of_all_keys(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE_ROWS", 100)
+    rows = spark.range(3000).select(F.lit(1).alias("same"), F.xxhash64("id").alias("h"), F.col("id").alias("__k"))
+    got = [(r["h"], r["__idx"]) for r in O.with_index(rows, "same", "h").orderBy("__idx").collect()]
+    assert [i for _, i in got] == list(range(3000)) and [h for h, _ in got] == sorted(h for h, _ in got)
+
+
+def test_range_number(spark):
+    x = spark.createDataFrame([(v,) for v in (None, -(2**63), 0, 3, 3, 8, 9, 2**63 - 1)], "x long")
+    assert [r.n for r in x.select(O.range_number(F.col("x"), [0, 3, 9]).alias("n")).collect()] == [0, 0, 1, 2, 2, 2, 3, 3]
+    assert [r.n for r in x.select(O.range_number(F.col("x"), []).alias("n")).collect()] == [0] * 8
+
+
+def test_columns_named_like_temporary_ones(spark):
+    names = "__old __k __part __n __w __left __all __extent __to __from __size __pass __i __b __batch __at".split()
+    df = spark.range(6).select(F.col("id").alias("__idx"), F.array(F.lit(1), F.lit(2), F.lit(2)).alias("x"), F.lit(3).cast("long").alias("n"), *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    b = Buffer(df)
+    for made in (b.shuffle(1).df, b.filter_by_shape("x", 0, 1, 5).df, b.append(b).df, b.perm([1, 0]).df, b.to_stream().shuffle(3).df, b.to_stream().repeat(1).df,
+                 b.to_stream().sliding_window("x", 2, 2).df, b.remove_value("x", "n", 0, 2).df, A.uniq_key(df, "x", "n")):
+        assert set(names) <= set(made.columns)
+        row = made.first()
+        assert [row[c] for c in names] == list(range(len(names)))
