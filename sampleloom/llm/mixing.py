@@ -30,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleloom.llm.ranges import range_bounds, range_of
 from sampleloom.shipping import ship
 
 #: Documents of a block.
 BLOCK_DOCS = 64
+#: Documents of a range of doc_id, which are ranked together.
+RANGE_ROWS = 50_000
 #: Where weights are to be rounded, to multiples of 1 / GRAIN.  An epoch is looked at for a shorter period so many slots after each source could have one.
 GRAIN = 1 << 12
 
@@ -85,7 +88,7 @@ def period(weights: dict) -> list:
 
 def exact_weights(weights: dict) -> dict:
     """Whole numbers in exactly the given proportions."""
-    share = {k: max(Fraction(0), Fraction(v)) for k, v in weights.items()}
+    share = {k: Fraction(v) for k, v in weights.items()}
     unit = math.lcm(*(v.denominator for v in share.values()))
     return {k: int(v * unit) for k, v in share.items()}
 
@@ -102,10 +105,10 @@ def epochs(blocks: dict, weights: dict, grain: int | None = None) -> tuple[dict,
     """
     left = {k: n for k, n in blocks.items() if n > 0}
     found: dict = {k: [] for k in left}
-    if grain is not None:
-        return found, _run(left, found, 0, weights, grain)
+    if any(weights[k] < 0 for k in left):
+        raise ValueError("weights must not be negative")
     whole = exact_weights({k: weights[k] for k in left}) if left else {}
-    at = _run({k: left[k] for k in left if whole[k]}, found, 0, whole)
+    at = _run({k: left[k] for k in left if whole[k]}, found, 0, whole if grain is None else weights, grain)
     return found, _run({k: left[k] for k in left if not whole[k]}, found, at, dict.fromkeys(left, 1))
 
 
@@ -188,16 +191,13 @@ def default_weights(sizes: dict, temperature: float = 0.7) -> dict:
 def _ranked(docs: DataFrame) -> tuple[DataFrame, dict]:
     """Each document's rank within its source by doc_id, and the documents of each source.
 
-    Ranks are counted within ranges of doc_id and shifted by the sizes of the
+    Ranks are counted within ranges of doc_id, of equally many rows, and shifted by the sizes of the
     ranges before, so that the largest source doesn't fall to one task.
     """
     keys = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"))
-    bounds = keys.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, rows = (bounds[0] or 0), (bounds[1] or 0), bounds[2]
-    ranges = max(1, min(4096, rows // 50_000))
-    width = (high - low) // ranges + 1
+    bounds = range_bounds(keys, "doc_id", keys.count(), RANGE_ROWS)
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # never null, so that it can be joined on
-    keys = keys.select("*", name.alias("name"), F.coalesce(F.expr(f"CAST((doc_id - {low}L) div {width}L AS INT)"), F.lit(-1)).alias("part"))
+    keys = keys.select("*", name.alias("name"), range_of("doc_id", bounds).alias("part"))
     counts = keys.groupBy("name", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("name", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -212,8 +212,9 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     """(position, slot, source, block, doc_id): every document's place in the mix.
 
     ``weights`` by source; a source that isn't named gets the least of those
-    given, and without any they are in proportion to size ** 0.7.  They are exact; ``grain``
-    rounds them to multiples of 1 / grain.  ``slot`` numbers blocks over
+    given, and without any they are in proportion to size ** 0.7.  Sources of weight 0 come after all
+    others and then share equally; a negative weight raises ValueError.  Weights are exact; ``grain``
+    rounds those that aren't 0 to multiples of 1 / grain, of at least one.  ``slot`` numbers blocks over
     all sources, ``position`` is slot * block_docs + place in the block (the last block of a source may be
     short, so positions ascend but have gaps).  Only source and doc_id are read.
     A null source is one of its own, a null doc_id comes first in its source,
@@ -267,10 +268,14 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
     """
     names = docs.columns
     placed, bound = _mix(docs, weights, block_docs)
-    where = placed.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__d")).agg(F.min("position").alias("__p"))
-    on = docs["source"].cast("string").eqNullSafe(where["__s"]) & docs["doc_id"].cast("long").eqNullSafe(where["__d"])
+    where = placed.groupBy("source", "doc_id").agg(F.min("position").alias("position"))
+    # columns go by number, so that any name will do
+    cols = [f"c{i}" for i in range(len(names))]
+    docs = docs.toDF(*cols)
+    source, doc_id = docs[cols[names.index("source")]], docs[cols[names.index("doc_id")]]
+    on = source.cast("string").eqNullSafe(where["source"]) & doc_id.cast("long").eqNullSafe(where["doc_id"])
     joined = docs.join(where, on, "left")
     # Positions are spread evenly, so ranges need no sample: a partition's number follows from the position.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = (F.col("__p") * parts / bound).cast("int")
-    return joined.repartitionById(parts, number).sortWithinPartitions("__p").select(*(docs[f"`{n}`"] for n in names))
+    number = (F.col("position") * parts / bound).cast("int")
+    return joined.repartitionById(parts, number).sortWithinPartitions("position").select(*cols).toDF(*names)

@@ -63,9 +63,7 @@ def test_deviation_is_below_one_block():
 def test_ranks_over_many_ranges(spark, monkeypatch):
     docs = docs_of(spark, [row(i * 3, "x", source=f"s{i % 3}") for i in range(500)])
     once = sorted(map(tuple, M.mix(docs, block_docs=8).collect()))
-    real = M._ranked.__code__.co_consts
-    assert 50_000 in real
-    monkeypatch.setattr(M._ranked, "__code__", M._ranked.__code__.replace(co_consts=tuple(20 if c == 50_000 else c for c in real)))
+    monkeypatch.setattr(M, "RANGE_ROWS", 20)
     assert sorted(map(tuple, M.mix(docs, block_docs=8).collect())) == once
 
 
@@ -116,3 +114,30 @@ def test_any_number_of_sources(spark):
     assert len({r.position for r in got}) == 12_500
     blocks = {(r.source, r.block): r.slot for r in got}
     assert sorted(blocks.values()) == list(range(len(blocks))) and len(blocks) == 7_500
+
+
+def test_wide_and_lone_doc_ids(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_ROWS", 20)
+    ids = [-9 * 10**18, 9 * 10**18, -(2**63), 2**63 - 1, *range(200)]
+    docs = docs_of(spark, [row(i, "x", source="a") for i in ids])
+    got = sorted(M.mix(docs, block_docs=8).collect(), key=lambda r: r.position)
+    assert [r.doc_id for r in got] == sorted(ids)
+    bounds = M.range_bounds(docs, "doc_id", len(ids), 20)
+    assert len(bounds) == 9 and 0 < bounds[0] < bounds[-1] < 199  # the lone ones don't widen the ranges
+
+
+def test_zero_and_negative_weights(spark):
+    docs = docs_of(spark, [row(i, "x", source="ab"[i % 2]) for i in range(20)])
+    for given, first in (({"a": 0, "b": 1}, "b"), ({"a": 1, "b": 0.0}, "a")):
+        for grain in (None, 64):
+            got = [r.source for r in sorted(M.mix(docs, given, block_docs=2, grain=grain).collect(), key=lambda r: r.position)]
+            assert got[:10] == [first] * 10 and len(got) == 20
+    assert M.mix(docs, {"a": 0}, block_docs=2).count() == 20 and M.mix(docs, {"a": 0, "b": 0}, block_docs=2, grain=64).count() == 20
+    with pytest.raises(ValueError):
+        M.mix(docs, {"a": 1, "b": -1})
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    docs = docs_of(spark, [row(i, "x", source="ab"[i % 2]) for i in range(20)]).selectExpr("*", "1 AS __s", "2 AS __d", "3 AS __p", "4 AS position", "5 AS c0", "6 AS rank")
+    out = M.mixed(docs, block_docs=2)
+    assert out.columns == docs.columns and sorted(out.collect()) == sorted(docs.collect())
