@@ -1,7 +1,7 @@
 """Exact repeated-passage removal behind a count-min prefilter.
 
 A *window* is ``WINDOW`` consecutive whitespace tokens, compared byte by byte
-through hashes of 128 bits.  A window that occurs at two or more places of the
+through a hash of 63 bits and one of 64 bits of its anchor.  A window that occurs at two or more places of the
 corpus is repeated; its first place (least doc_id, then position) is kept, every
 other one is cut.
 
@@ -17,7 +17,9 @@ fewer and a run of neighbouring windows travels as one row.
    two or more.
 2. A second pass sends on only the runs whose anchor is estimated repeated,
    keyed by the anchor, and windows are grouped exactly there.  An overestimated
-   anchor costs a row and changes nothing.
+   anchor costs a row and changes nothing.  Of texts that are in memory together
+   only the first places of a window are sent: the others can't be first, so they are cut for certain,
+   and a passage that a third of all documents share doesn't travel with each of them.
 
 The sketch's size follows the corpus up to ``MAX_SKETCH_BYTES``; beyond that it
 lets more through to the exact grouping, and the result stays the same.
@@ -115,16 +117,27 @@ def repeated_bits(docs: DataFrame, width: int, window: int = WINDOW, anchor: int
                 if a.any():
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([r * (width // SHARD) + shard], pa.int32()), "once": [_pack(a)], "twice": [_pack(b)]})
 
-    def merge(key, table):
-        once, twice = np.zeros(SHARD // 8, np.uint8), np.zeros(SHARD // 8, np.uint8)
-        for a, b in zip(table.column("once"), table.column("twice")):
-            a, b = _unpack(a.as_py()), _unpack(b.as_py())
-            twice |= b | (once & a)
-            once |= a
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "twice": [_pack(twice)]})
+    def merge(batches):
+        shard, once, twice = None, None, None
+
+        def made():
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "twice": [_pack(twice)]})
+
+        for batch in batches:
+            for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != shard:
+                    if shard is not None:
+                        yield made()
+                    shard, once, twice = k, np.zeros(SHARD // 8, np.uint8), np.zeros(SHARD // 8, np.uint8)
+                a = _unpack(a)
+                twice |= _unpack(b) | (once & a)
+                once |= a
+        if shard is not None:
+            yield made()
 
     partials = docs.select("text").mapInArrow(partial, "shard int, once binary, twice binary")
-    merged = partials.groupBy("shard").applyInArrow(merge, "shard int, twice binary")
+    # a shard's partial sketches pass one by one
+    merged = partials.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary")
     out = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)]
     for row in merged.toLocalIterator():  # at most MAX_SKETCH_BYTES in all
         r, shard = divmod(row["shard"], width // SHARD)
@@ -157,11 +170,32 @@ def estimated_repeated(anchors: np.ndarray, bits: list[np.ndarray], width: int)
     return ok
 
 
-_RUN = "anchor long, doc_id long, row long, start int, windows binary"
+#: Rows without windows are spans start .. stop - 1 that are cut for certain; their anchor only spreads them.
+#: The lowest bit of a window's hash tells that it is repeated though its other places may not come.
+_RUN = "anchor long, doc_id long, row long, start int, stop int, windows binary"
+
+
+def _certain(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with their texts: which have an earlier place in another of these texts, and which have places in two of them.
+
+    All windows of a text are here, so an earlier one elsewhere is none of a first place in its own text.
+    """
+    order = np.lexsort((rows, ids))
+    new = np.concatenate(([True], (ids[order][1:] != ids[order][:-1]) | (rows[order][1:] != rows[order][:-1])))
+    rank = np.empty(len(ids), np.int64)  # of texts by (doc_id, row); equal ones are one
+    rank[order] = np.cumsum(new)
+    by = np.argsort(rank[doc], kind="stable")
+    by = by[np.argsort(h[by], kind="stable")]
+    head = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+    size = np.diff(np.append(head, len(by)))
+    sorted_later = rank[doc][by] > np.repeat(rank[doc][by[head]], size)
+    later, shared = np.empty(len(h), bool), np.empty(len(h), bool)
+    later[by], shared[by] = sorted_later, np.repeat(np.logical_or.reduceat(sorted_later, head), size)
+    return later, shared
 
 
 def _runs(bits, width: int, window: int, anchor: int):
-    """Second pass: (anchor, doc_id, row, start, windows) of the runs whose anchor is estimated repeated."""
+    """Second pass: the runs whose anchor is estimated repeated, those that are cut for certain as spans."""
 
     def run(batches):
         rows = bits.value if hasattr(bits, "value") else bits
@@ -173,20 +207,36 @@ def _runs(bits, width: int, window: int, anchor: int):
                 if not len(keep):
                     continue
                 ends = np.append(heads[1:], len(at))
-                doc = np.searchsorted(words.first, at[heads[keep]], "right") - 1
                 size = ends[keep] - heads[keep]
-                take = np.repeat(heads[keep] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                flat = np.ascontiguousarray(whole[take])
-                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32) * 8
-                blobs = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-                ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(doc))
-                salt = part.column(part.schema.get_field_index("row")).take(pa.array(doc))
-                start = (at[heads[keep]] - words.first[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors[keep].view(np.int64)), ids, salt, pa.array(start), blobs], ["anchor", "doc_id", "row", "start", "windows"])
+                take = np.repeat(heads[keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                doc = np.searchsorted(words.first, at[heads[keep]], "right") - 1
+                ids, salt = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "row"))
+                number = np.repeat(np.arange(len(keep)), size)
+                doc = doc[number]
+                pos = at[take] - words.first[doc]
+                later, shared = _certain(whole[take], doc, np.asarray(ids), np.asarray(salt))
+                if later.any():
+                    d = doc[later]
+                    spans = _spans(np.asarray(ids)[d], np.asarray(salt)[d], pos[later], pos[later] + window, np.zeros(len(d), bool))
+                    spread = kernels.mix(np.asarray(spans.column(0)).view(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), *spans.columns[:4], pa.nulls(spans.num_rows, pa.binary())], _RUN_NAMES)
+                # what is left of the runs
+                left = np.flatnonzero(~later)
+                if not len(left):
+                    continue
+                head = np.flatnonzero(np.concatenate(([True], (np.diff(left) > 1) | (np.diff(number[left]) > 0))))
+                flat = (whole[take[left]] & ~np.uint64(1)) | shared[left].astype(np.uint64)
+                offsets = np.append(head, len(left)).astype(np.int32) * 8
+                blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                head = left[head]
+                own = [c.take(pa.array(doc[head])) for c in (ids, salt)]
+                first = pa.array(pos[head].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[keep[number[head]]].view(np.int64)), *own, first, first, blobs], _RUN_NAMES)
 
     return run
 
 
+_RUN_NAMES = ["anchor", "doc_id", "row", "start", "stop", "windows"]
 _SPAN = "doc_id long, row long, start int, stop int, kept boolean"
 
 
@@ -201,11 +251,12 @@ def _group(window: int):
         size = np.diff(offsets) // 8
         h = np.frombuffer(data.tobytes(), np.uint64)
         pos = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        cols = [np.repeat(anchor, size), h, np.repeat(doc, size), np.repeat(row, size), pos]
+        cols = [np.repeat(anchor, size), h | np.uint64(1), np.repeat(doc, size), np.repeat(row, size), pos, (h & np.uint64(1)).astype(bool)]
         if firsts is not None:  # what came before of the anchor that this chunk begins with
             cols = [np.concatenate((a, b)) for a, b in zip(firsts, cols)]
         order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))
-        a, h, d, r, p = (c[order] for c in cols)
+        a, h, d, r, p, shared = (c[order] for c in cols)
+        shared = np.logical_or.reduceat(shared, np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1])))))
         again = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (d[1:] == d[:-1]) & (r[1:] == r[:-1]) & (p[1:] == p[:-1])
         if again.any():  # rows that repeat a document are one place
             a, h, d, r, p = (c[np.concatenate(([True], ~again))] for c in (a, h, d, r, p))
@@ -214,7 +265,7 @@ def _group(window: int):
         count = np.diff(np.append(head, len(a)))
         group = np.repeat(np.arange(len(head)), count)
         lead = head[group]
-        many = count[group] > 1
+        many = (count > 1)[group] | shared[group]
         kept = new & many
         # a later place of a window that overlaps its first place within a text leaves the first place whole
         same = (d == d[lead]) & (r == r[lead])
@@ -222,16 +273,21 @@ def _group(window: int):
         stop = p + window
         use = many & (begin < stop)
         last = a == a[-1]
-        carry = [c[new & last] for c in (a, h, d, r, p)]
+        carry = [c[new & last] for c in (a, h, d, r, p, shared[group])]
         return _spans(d[use], r[use], begin[use], stop[use], kept[use]), carry
 
     def run(batches):
         held, windows, firsts = [], 0, None
         for batch in batches:
+            ready = batch.column(5).is_null()
+            if ready.true_count:
+                spans = batch.filter(ready)
+                yield pa.RecordBatch.from_arrays([*spans.columns[1:5], pa.array(np.zeros(spans.num_rows, bool))], ["doc_id", "row", "start", "stop", "kept"])
+                batch = batch.filter(batch.column(5).is_valid())
             if not batch.num_rows:
                 continue
             held.append(batch)
-            windows += batch.column(4).nbytes // 8
+            windows += batch.column(5).nbytes // 8
             if windows < HELD:
                 continue
             t = pa.Table.from_batches(held)
@@ -247,7 +303,7 @@ def _group(window: int):
                 out, firsts = solve(t, firsts if firsts is not None and firsts[0][0] == anchor[0] else None)
                 yield out
                 held = []
-            windows = sum(b.column(4).nbytes // 8 for b in held)
+            windows = sum(b.column(5).nbytes // 8 for b in held)
         if held:
             t = pa.Table.from_batches(held)
             anchor = np.asarray(t.column("anchor"))

@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+import pytest
 
 from sampleloom.llm import substrings as S
 
@@ -112,3 +113,25 @@ def test_one_anchor_over_many_pieces_has_one_first_place(spark, monkeypatch):
         assert found(spans) == brute(rows, 12)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_passages_shared_by_a_third_of_all_rows(spark, partitions):
+    """Copies that are in memory together are cut before the shuffle; first places, own repetitions and repeated rows stay right."""
+    a, b = prose("hot", 70), prose("own", 60)
+    rows = [(i, prose(f"l{i}", 20) + " " + a + " " + prose(f"r{i}", 20)) for i in range(40)]
+    rows += [(i, b + " " + b + " " + prose(i, 30)) for i in range(50, 53)] + [(60, a), (60, a), (61, prose("x", 90)), (61, prose("x", 90))]
+    rows += [(70, prose("y", 30) + " " + a + " " + a)]
+    docs = docs_of(spark, [row(*x) for x in rows]).repartition(partitions)
+    assert found(S.repeated_passages(docs)) == brute(rows, 50)
+    narrow = S._narrow(docs)
+    width = S.sketch_width(1)
+    sent = narrow.mapInArrow(S._runs(S.repeated_bits(narrow, width), width, 50, 25), S._RUN).where("windows IS NOT NULL")
+    again = sum(int((np.frombuffer(bytes(r.windows), np.uint64) & np.uint64(1)).sum()) for r in sent.collect())
+    assert again <= partitions * (21 + 11 + 40) + 2 * 21  # not 21 for each of the 42 texts
+
+
+def test_columns_of_any_name(spark):
+    docs = docs_of(spark, [row(*x) for x in corpus()]).selectExpr("*", "1 AS __doc", "2 AS __row", "3 AS __spans", "4 AS __cut", "5 AS c0", "6 AS stop")
+    out = S.drop_repeated_passages(docs)
+    assert out.columns == docs.columns and {r[5:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
