@@ -18,7 +18,8 @@ The search is exact in the Hamming distance of the search bits:
 3. Every signature is sent to the values within ``ceil(t_i / 2)`` of its own; two
    that lie within ``t_i`` meet at some value.  What meets is verified at once by
    numpy, and only verified edges leave the task.  A bucket that holds a family
-   of close copies gives a spanning forest of it instead of all its pairs.
+   of close copies gives a spanning forest of it instead of all its pairs.  A bucket
+   too large for a task (known beforehand from the histograms) is split into blocks that meet two by two.
 4. Connected components of the edges are the groups.
 """
 
@@ -49,6 +50,8 @@ MIN_SIZE_RATIO = 0.75
 WIDE_BUCKET = 1024
 #: What sending one row costs, in comparisons.
 PROBE_COST = 100.0
+#: A bucket that will have more rows than this is split into blocks of about so many, which meet two by two.
+BLOCK_ROWS = 1 << 18
 _SALTS = tuple(np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D))
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0).astype(np.float64)
 _DOCS = 64  # texts at a time: their tables of 16 KB each stay in cache
@@ -197,8 +200,24 @@ def allocate(costs: list[np.ndarray], tau: int) -> list[int]:
     return best[tau + 1][1]
 
 
-def plan_search(table: DataFrame, tau: int = TAU) -> tuple[list[list[int]], list[int]]:
-    """The partitions and thresholds for a table with distinct signatures in s0."""
+def hot_buckets(counts: np.ndarray, thresholds: list[int], block_rows: int | None = None) -> dict[int, int]:
+    """The buckets that will have more than ``block_rows`` rows, and how many blocks each is split into.
+
+    Exact: a value's bucket gets the rows of all values within the radius that is probed.
+    """
+    limit = block_rows or BLOCK_ROWS
+    every = np.arange(counts.shape[1])
+    hot: dict[int, int] = {}
+    for i, t in enumerate(thresholds):
+        if t >= 0:
+            rows = sum(counts[i][every ^ m] for m in ball((t + 1) // 2))
+            for v in np.flatnonzero(rows > limit):
+                hot[int(v) | (i << WIDTH)] = int(-(-rows[v] // limit))
+    return hot
+
+
+def plan_search(table: DataFrame, tau: int = TAU) -> tuple[list[list[int]], list[int], dict[int, int]]:
+    """The partitions, thresholds and hot buckets for a table with distinct signatures in s0."""
     cells = table.select("s0").mapInArrow(_bit_sums, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(4097)
     for r in cells:  # at most 4097 rows
@@ -224,7 +243,8 @@ def plan_search(table: DataFrame, tau: int = TAU) -> tuple[list[list[int]], list
         pairs = candidate_counts(part)[: tau + 1]
         probes = np.array([len(ball((t + 1) // 2)) for t in range(len(pairs))])
         costs.append(np.concatenate(([0.0], pairs + PROBE_COST * rows * probes)))
-    return groups, allocate(costs, tau)
+    thresholds = allocate(costs, tau)
+    return groups, thresholds, hot_buckets(counts, thresholds)
 
 
 # ---------------------------------------------------------------- search
@@ -298,10 +318,36 @@ def bucket_edges(key, s, size, ids, tau=TAU) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[inner]], nodes[inner]
 
 
-def near_edges(table: DataFrame, groups: list[list[int]], thresholds: list[int], tau: int = TAU) -> DataFrame:
+class _Blocks:
+    """Keys of the pairs of blocks that hot buckets are split into; they follow those of the plain buckets."""
+
+    def __init__(self, hot: dict[int, int]):
+        size = PARTS << WIDTH
+        self.count, self.base = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for key, n in sorted(hot.items()):
+            self.count[key], self.base[key] = n, size
+            size += n * (n + 1) // 2
+        if size >= 1 << 31:
+            raise ValueError("too many pairs of blocks: raise BLOCK_ROWS")
+
+    def spread(self, key: np.ndarray, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row of a hot bucket goes to all pairs of blocks that its own block, by its hash, is in."""
+        n = self.count[key]
+        if not n.any():
+            return key, row
+        times = np.maximum(n, 1)
+        x = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        key, row, n = np.repeat(key, times), np.repeat(row, times), np.repeat(n, times)
+        own = (kernels.mix(ids[row].view(np.uint64)) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
+        high, low = np.maximum(own, x), np.minimum(own, x)
+        return np.where(n > 0, self.base[key] + high * (high + 1) // 2 + low, key), row
+
+
+def near_edges(table: DataFrame, groups: list[list[int]], thresholds: list[int], tau: int = TAU, hot: dict[int, int] | None = None) -> DataFrame:
     """(src, dst): edges whose components are those of all near-duplicate pairs of table (id, s0, s1, s2, size)."""
     masks = [ball((t + 1) // 2) if t >= 0 else np.zeros(0, np.int64) for t in thresholds]
     names = ["key", "id", "s0", "s1", "s2", "size"]
+    blocks = _Blocks(hot) if hot else None
 
     def probes(batches):
         for batch in batches:
@@ -312,30 +358,33 @@ def near_edges(table: DataFrame, groups: list[list[int]], thresholds: list[int],
                 for i, v in enumerate(part_values(s, groups)):
                     keys.append(((v[:, None] ^ masks[i][None, :]) | (i << WIDTH)).ravel())
                     rows.append(np.repeat(np.arange(len(s)), len(masks[i])))
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), *(c.take(take) for c in b.columns)], names)
+                key, row = np.concatenate(keys), np.concatenate(rows)
+                if blocks:
+                    key, row = blocks.spread(key, row, np.asarray(b.column(0)))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(c.take(take) for c in b.columns)], names)
 
     def search(batches):
-        kept = None
-
         def solve(t):
+            t = t.combine_chunks()
             s = [np.asarray(t.column(k)).view(np.uint64) for k in ("s0", "s1", "s2")]
             a, b = bucket_edges(np.asarray(t.column("key")), s, np.asarray(t.column("size")), np.asarray(t.column("id")), tau)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
+        held, rows = [], 0
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
-            if t.num_rows < 400_000:
-                kept = t
+            if not batch.num_rows:
                 continue
-            t = t.combine_chunks()
-            key = np.asarray(t.column("key"))
+            key = np.asarray(batch.column(0))
             whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if whole:
-                yield solve(t.slice(0, whole))
-            kept = t.slice(whole)
-        if kept is not None and kept.num_rows:
-            yield solve(kept.combine_chunks())
+            if rows + whole >= 400_000 and (whole or np.asarray(held[-1].column(0))[-1] != key[0]):
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held, rows = [], 0
+                batch = batch.slice(whole)
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     sent = table.select("id", "s0", "s1", "s2", "size").mapInArrow(probes, "key int, id long, s0 long, s1 long, s2 long, size int")
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(search, "src long, dst long")
@@ -354,9 +403,9 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     signed = materialize(signature_table(docs), "signatures")
     same = ["s0", "s1", "s2", "size"]
     distinct = materialize(signed.groupBy(*same).agg(F.min("doc_id").alias("id")), "distinct-signatures")
-    groups, thresholds = plan_search(distinct, tau)
+    groups, thresholds, hot = plan_search(distinct, tau)
     copies = signed.withColumn("least", F.min("doc_id").over(Window.partitionBy(*same))).where("least <> doc_id")
-    edges = near_edges(distinct, groups, thresholds, tau).unionByName(
+    edges = near_edges(distinct, groups, thresholds, tau, hot).unionByName(
         copies.select(F.col("least").alias("src"), F.col("doc_id").alias("dst"))
     )
     found = connected_components(edges)
@@ -368,9 +417,12 @@ def drop_near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
     Of rows that are equal in doc_id and text one stays.  Rows with a null doc_id or text stay.
     """
-    gone = near_duplicates(docs, tau).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    again = F.lag(F.struct(F.lit(1), F.xxhash64("text"))).over(order)
-    kept = kept.withColumn("__again", F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (again == F.struct(F.lit(1), F.xxhash64("text"))))
-    return kept.where("__again IS NULL OR NOT __again").drop("__again")
+    gone = near_duplicates(docs, tau).select(F.col("doc_id").alias("gone"))
+    names = docs.columns
+    # columns go by number, so that any name will do
+    cols = [f"c{i}" for i in range(len(names))]
+    docs = docs.toDF(*cols)
+    doc_id, text = docs[cols[names.index("doc_id")]].cast("long"), docs[cols[names.index("text")]].cast("string")
+    kept = docs.withColumn("id", doc_id).withColumn("hash", F.when(text.isNotNull(), F.xxhash64(text))).join(gone, F.col("id") == F.col("gone"), "left_anti")
+    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
+    return kept.withColumn("place", place).where("place = 1 OR id IS NULL OR hash IS NULL").select(*cols).toDF(*names)

@@ -123,3 +123,45 @@ def test_components_of_chains_stars_and_loops(spark):
 @pytest.mark.parametrize("text", ["", " ", None])
 def test_blank_texts_have_no_features(text):
     assert S.signatures(pa.array([text], pa.string()))[1].tolist() == [0]
+
+
+def test_hot_buckets_are_split_into_blocks(spark, monkeypatch):
+    """A family of close but different texts fills the same buckets; split ones find the same groups."""
+    base = prose("family", 150).split()
+    rows = [row(i, " ".join(w if k != i % 150 else f"changed{i}" for k, w in enumerate(base))) for i in range(120)] + [row(200 + i, prose(i, 80)) for i in range(20)]
+    docs = docs_of(spark, rows)
+    want = sorted(map(tuple, S.near_duplicates(docs).collect()))
+    assert len(want) >= 100
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    hot = S.plan_search(S.signature_table(docs).withColumnRenamed("doc_id", "id"))[2]
+    assert hot and max(hot.values()) > 5
+    assert sorted(map(tuple, S.near_duplicates(docs).collect())) == want
+
+
+def test_blocks_meet_two_by_two():
+    blocks = S._Blocks({5: 4, 9: 3})
+    ids = np.arange(300)
+    for key in (5, 9, 6):
+        k, row = blocks.spread(np.full(300, key), ids, ids)
+        meet = {}
+        for a, r in zip(k.tolist(), row.tolist()):
+            meet.setdefault(a, set()).add(r)
+        assert all(any({x, y} <= m for m in meet.values()) for x, y in ((0, 1), (3, 250), (17, 99), (299, 120)))
+        assert len(meet) == {5: 10, 9: 6, 6: 1}[key]
+    assert set(blocks.spread(np.full(300, 5), ids, ids)[0]).isdisjoint(blocks.spread(np.full(300, 9), ids, ids)[0])
+
+
+def test_hot_buckets_are_known_exactly():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << S.WIDTH, 3000) & 0xFF
+    counts = np.zeros((S.PARTS, 1 << S.WIDTH))
+    counts[1] = np.bincount(values, minlength=1 << S.WIDTH)
+    rows = np.bincount((values[:, None] ^ S.ball(1)[None, :]).ravel(), minlength=1 << S.WIDTH)
+    want = {int(v) | (1 << S.WIDTH): int(-(-rows[v] // 100)) for v in np.flatnonzero(rows > 100)}
+    assert S.hot_buckets(counts, [-1, 2, -1, -1], 100) == want
+
+
+def test_columns_of_any_name(spark):
+    docs = docs_of(spark, [row(1, prose(1, 50)), row(1, prose(1, 50)), row(2, prose(1, 50))]).selectExpr("*", "1 AS __again", "2 AS __gone", "3 AS gone", "4 AS id", "5 AS c0", "6 AS place", "7 AS hash")
+    out = S.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and [r[5:] for r in out.collect()] == [(1, 2, 3, 4, 5, 6, 7)]
