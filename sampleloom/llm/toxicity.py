@@ -29,6 +29,8 @@ TRAIN_ROWS = 10_000
 TRAIN_SHARE = 0.6
 #: A language with fewer labelled toxic rows than this has the threshold of all languages together.
 LEAST_TOXIC = 20
+#: Rows of the rarer kind that are trained on at least, as far as TRAIN_SHARE of them are so many.
+LEAST_ROWS = 200
 #: Calibration counts scores in so many bins.
 BINS = 2000
 _GRAIN = 1_000_000
@@ -166,28 +168,32 @@ class ConvNet:
                         self.embedding[t][bucket] -= rate * total / np.sqrt(seen_embedding[t][bucket])[:, None]
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic): repeated labels of a document count as toxic if one says so; rows with nulls are left out."""
-    said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    said = said.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    return text.join(said, "doc_id")
-
-
 def _place(doc_id: str) -> str:
     """SQL: a document's place in 0 .. _GRAIN - 1, by which rows are chosen for training."""
     return f"pmod(xxhash64({doc_id}, 17L), {_GRAIN})"
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[ConvNet, int]:
-    """A model and the number below which a document's place made it a training row."""
+def _said(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one row for each labelled document, 1 if a label says so, else 0."""
+    said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
+    return said.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[ConvNet | None, tuple[int, int]]:
+    """A model, and for clean and toxic rows the number below which a document's place made it a training row.
+
+    No model (None) without training rows of both kinds.
+    """
     spark = docs.sparkSession
     ship(spark)
-    total = labels.where("toxic IS NOT NULL").select("doc_id").distinct().count()
-    cut = int(_GRAIN * min(TRAIN_SHARE, rows / max(total, 1)))
+    of_kind = {r["toxic"]: r["count"] for r in _said(labels).groupBy("toxic").count().collect()}
+    share = min(TRAIN_SHARE, rows / max(sum(of_kind.values()), 1))
+    cuts = tuple(int(_GRAIN * min(TRAIN_SHARE, max(share, LEAST_ROWS / max(of_kind.get(k, 0), 1)))) for k in (0, 1))
     # both sides are cut down before they meet: no text of another row is moved
-    mine = f"{_place('CAST(doc_id AS BIGINT)')} < {cut}"
-    chosen = _labelled(docs.where(mine), labels.where(mine))
+    mine = f"{_place('CAST(doc_id AS BIGINT)')} < {max(cuts)}"
+    text = docs.where(mine).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    said = _said(labels.where(mine)).where(f"{_place('doc_id')} < CASE WHEN toxic > 0 THEN {cuts[1]} ELSE {cuts[0]} END")
+    chosen = text.join(said, "doc_id")
 
     def ids_of(batches):
         for batch in batches:
@@ -198,12 +204,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[C
 
     sample = chosen.select("text", "toxic", "doc_id").mapInArrow(ids_of, "ids binary, toxic int, doc_id long").collect()
     sample.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    net = ConvNet()
     data = [np.frombuffer(bytes(r["ids"]), np.uint16).reshape(-1, 2) for r in sample]
     said = np.array([r["toxic"] for r in sample], np.int64)
-    if len(data) and 0 < said.sum() < len(said):
-        net.fit(data, said, epochs=int(np.clip(40_000 // len(data), 4, 30)))
-    return net, cut
+    if not 0 < said.sum() < len(said):
+        return None, cuts
+    net = ConvNet()
+    net.fit(data, said, epochs=int(np.clip(40_000 // len(data), 4, 30)))
+    return net, cuts
 
 
 def best_threshold(clean: np.ndarray, toxic: np.ndarray) -> float | None:
@@ -217,15 +224,14 @@ def best_threshold(clean: np.ndarray, toxic: np.ndarray) -> float | None:
     return float((top[0] + top[-1]) // 2 / BINS)  # the middle of equally good ones
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, cut: int) -> dict:
+def calibrate(scored: DataFrame, labels: DataFrame, cuts: tuple[int, int]) -> dict:
     """Thresholds by language, that of all together under None, from all labelled rows that weren't trained on."""
-    said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    said = said.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(f"{_place('doc_id')} >= {cut}")
+    said = _said(labels).where(f"{_place('doc_id')} >= CASE WHEN toxic > 0 THEN {cuts[1]} ELSE {cuts[0]} END")
     bins = scored.join(said, "doc_id").groupBy("lang", "toxic", F.expr(f"least(CAST(score * {BINS} AS INT), {BINS - 1})").alias("bin")).count()
     counts: dict = {}
     for r in bins.toLocalIterator():  # at most 2 * BINS rows a language
         for lang in {r["lang"], None}:
-            counts.setdefault(lang, np.zeros((2, BINS), np.int64))[min(1, max(0, r["toxic"])), r["bin"]] += r["count"]
+            counts.setdefault(lang, np.zeros((2, BINS), np.int64))[r["toxic"], r["bin"]] += r["count"]
     pooled = best_threshold(*counts[None]) if None in counts else None
     out = {None: 0.5 if pooled is None else pooled}
     for lang, c in counts.items():
@@ -258,13 +264,15 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     Trained on at most about ``rows`` of the labelled documents.  Only doc_id,
     text and lang of ``docs`` and doc_id and toxic of ``labels`` are read.  Null and empty
     texts are never toxic; a null or rare language has the threshold of all
-    together; repeated rows are scored alike.  Without labels of both kinds the
-    threshold is 0.5 on an untrained model, which no text reaches in practice; an empty table
-    gives no rows.
+    together; repeated rows are scored alike.  Without training rows of both kinds there is no model
+    and nothing is said to be toxic: no rows, as for an empty table.  Where no toxic label is left
+    to calibrate on, the threshold is 0.5.
     """
-    net, cut = train(docs, labels, rows)
+    net, cuts = train(docs, labels, rows)
+    if net is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, lang string, score double, threshold double")
     scored = materialize(score(docs, net), "toxicity-scores")
-    thresholds = calibrate(scored, labels, cut)
+    thresholds = calibrate(scored, labels, cuts)
     known = F.create_map(*(x for k, v in thresholds.items() if k is not None for x in (F.lit(k), F.lit(v)))) if len(thresholds) > 1 else None
     limit = F.lit(thresholds[None]) if known is None else F.coalesce(known[F.col("lang")], F.lit(thresholds[None]))
     return scored.withColumn("threshold", limit).where("score >= threshold AND score > 0")

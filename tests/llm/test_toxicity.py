@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sampleloom.llm import toxicity as X
 
@@ -80,3 +81,100 @@ def test_awkward_rows(spark, awkward, empty):
     assert X.toxic_documents(empty, labels).count() == 0
     nothing = labels_of(spark, [])
     assert X.toxic_documents(awkward, nothing).where("doc_id IN (3, 4, 5)").count() == 0
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_labels_of_one_kind_say_nothing(spark, toxic):
+    rows, labels = corpus(60)
+    got = X.toxic_documents(docs_of(spark, rows), labels_of(spark, [(i, 1, toxic) for i, _, _ in labels]))
+    assert got.columns == ["doc_id", "lang", "score", "threshold"] and got.count() == 0
+
+
+def test_rare_toxic_rows_are_trained_on(spark, monkeypatch):
+    rows, labels = corpus(400)
+    few = [(i, q, int(t and i % 25 == 0)) for i, q, t in labels]
+    net, (clean, toxic) = X.train(docs_of(spark, rows), labels_of(spark, few), rows=40)
+    assert net is not None and toxic == int(X.TRAIN_SHARE * X._GRAIN) > clean
+
+
+def test_gradients_equal_numerical_ones():
+    """One step of fit from fresh sums of squares is rate * gradient / sqrt(gradient ** 2 + 1e-4), so the step's gradient can be read off and compared."""
+    texts = ["vile scorn a b", "kind words here", "scorn", "nice day and more"]
+    ids, first = X.word_ids(pa.array(texts))
+    docs = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
+    y = np.array([1, 0, 1, 0])
+
+    def loss(net):
+        p = np.clip(net.scores(ids, first), 1e-9, 1 - 1e-9)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    rate = 1e-3
+    for name in ("out", "bias", "filters"):
+        net = X.ConvNet(4)
+        before = getattr(net, name).astype(np.float64).copy()
+        net.fit(docs, y, epochs=1, rate=rate, decay=0.0)
+        step = (before - getattr(net, name).astype(np.float64)) / rate  # g / sqrt(1e-4 + g * g)
+        got = 1e-2 * step / np.sqrt(np.maximum(1 - step * step, 1e-6))
+        fresh = X.ConvNet(4)
+        for name2 in ("embedding", "filters", "bias", "out"):
+            setattr(fresh, name2, getattr(fresh, name2).astype(np.float64))
+        fresh.out_bias = np.float64(fresh.out_bias)
+        rng = np.random.default_rng(0)
+        for i in rng.choice(before.size, 25, replace=False):
+            at, eps = np.unravel_index(i, before.shape), 1e-4
+            table = getattr(fresh, name)
+            keep = table[at]
+            table[at] = keep + eps
+            up = loss(fresh)
+            table[at] = keep - eps
+            down = loss(fresh)
+            table[at] = keep
+            want = (up - down) / (2 * eps)
+            if abs(step[at]) < 0.9:
+                assert abs(got[at] - want) < 2e-4 + 0.05 * abs(want), (name, at)
+
+
+def plain_score(net, text):
+    """The same network word by word."""
+    ids, _ = X.word_ids(pa.array([text]))
+    e = [net.embedding[0][a] + net.embedding[1][b] for a, b in ids]
+    z, at = float(net.out_bias), 0
+    for k, width in enumerate(X.WIDTHS):
+        for f in range(X.FILTERS):
+            outs = [sum(float(e[p + j] @ net.filters[:, (at + j) * X.FILTERS + f]) for j in range(width)) for p in range(len(e) - width + 1)]
+            if outs:
+                z += max(0.0, max(outs) + float(net.bias[k * X.FILTERS + f])) * float(net.out[k * X.FILTERS + f])
+        at += width
+    return 1 / (1 + np.exp(-z))
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The registered query against plain loops: every row scored, thresholds counted, rows compared."""
+    from sampleloom.llm.queries import op6_toxicity
+
+    rows, labels = corpus(260)
+    docs, known = docs_of(spark, rows), labels_of(spark, labels[:220])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    net, cuts = X.train(docs, known)
+    place = {r[0]: r[1] for r in known.selectExpr("doc_id", X._place("doc_id")).collect()}
+    scores = {r[0]: plain_score(net, r[1]) for r in rows}
+    said = {i: t for i, _, t in labels[:220] if place[i] >= cuts[t]}
+    lang = {r[0]: r[2] for r in rows}
+
+    def threshold(chosen):
+        toxic = np.bincount([min(int(scores[i] * X.BINS), X.BINS - 1) for i in chosen if said[i]], minlength=X.BINS)
+        clean = np.bincount([min(int(scores[i] * X.BINS), X.BINS - 1) for i in chosen if not said[i]], minlength=X.BINS)
+        f1 = [2 * toxic[b:].sum() / (toxic[b:].sum() + clean[b:].sum() + toxic.sum()) for b in range(X.BINS)]
+        best = [b for b, v in enumerate(f1) if v >= max(f1) - 1e-12]
+        return (best[0] + best[-1]) // 2 / X.BINS
+
+    limits = {None: threshold(said)}
+    for x in {"en", "de"}:
+        mine = [i for i in said if lang[i] == x]
+        if sum(said[i] for i in mine) >= X.LEAST_TOXIC:
+            limits[x] = threshold(mine)
+    want = {i: limits.get(lang[i], limits[None]) for i in scores if scores[i] >= limits.get(lang[i], limits[None])}
+    got = {r.doc_id: r for r in op6_toxicity(spark, str(tmp_path)).collect()}
+    assert {i: r.threshold for i, r in got.items()} == want and len(want) > 20
+    assert all(abs(r.score - scores[i]) < 1e-4 for i, r in got.items())
