@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sampleloom.llm import kernels
 from sampleloom.llm.storage import materialize
 from sampleloom.shipping import ship
 
 K = 10
 MAX_PIVOTS = 1024
-#: Queries that are solved together; they are in memory at once, the data pass by in tiles.
+#: Queries that are solved together at most; they are in memory at once, the data pass by in tiles.
 GROUP_ROWS = 16_384
+#: Fewer queries are solved together where there would be fewer groups than cores, but not fewer than this.
+LEAST_GROUP_ROWS = 2048
 TILE = 4096
 CHUNK = 512
 #: Relative slack of the bounds, far above rounding.
@@ -34,7 +37,7 @@ SLACK = 1e-6
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    return kernels.buffers(column)[0].view(np.float64).reshape(-1, dim)
 
 
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -57,8 +60,10 @@ def clean_vectors(table: DataFrame, dim: int | None = None) -> tuple[DataFrame,
 
     def pack(batches):
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], ["vec_id", "v"])
+            flat = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False))
+            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * (8 * dim)
+            made = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([b.column(0), made], ["vec_id", "v"])
 
     return rows.mapInArrow(pack, "vec_id long, v binary"), dim
 
@@ -143,7 +148,10 @@ def knn_join(table: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, group_r
     parts = rows.select("v").mapInArrow(summarise, "cell int, n long, radius double, near array<double>")
     merged = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     summary = {r["cell"]: (r["n"], r["radius"], r["near"]) for r in merged.collect()}  # at most MAX_PIVOTS rows
-    plan = spark.sparkContext.broadcast(_Plan(pivots, summary, k, group_rows))
+    cores = spark.sparkContext.defaultParallelism
+    group_rows = min(group_rows, max(LEAST_GROUP_ROWS, -(-n // cores)))
+    made = _Plan(pivots, summary, k, group_rows)
+    plan = spark.sparkContext.broadcast(made)
 
     def send(batches):
         p = plan.value
@@ -185,7 +193,8 @@ def knn_join(table: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, group_r
             yield state.result()
 
     sent = rows.mapInArrow(send, "part int, tag tinyint, vec_id long, v binary")
-    return sent.repartition("part").sortWithinPartitions("part", "tag").mapInArrow(solve, schema)
+    # one task for each part: by size alone they would be put together, and they are work for many cores
+    return sent.repartitionById(int(made.shares.sum()), F.col("part")).sortWithinPartitions("part", "tag").mapInArrow(solve, schema)
 
 
 class _Nearest:
