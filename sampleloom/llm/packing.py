@@ -5,7 +5,7 @@ into full bins and a last piece.  The plan depends on nothing but how often each
 length occurs, at most ``capacity`` numbers, however large the corpus:
 
 1. *Exact complements.*  From the longest length down, the gap that it leaves
-   is looked up among the sums of one, two and three available lengths, and the
+   is looked up in an index of the sums of one, two and three available lengths, and the
    combination found is used as often as the available counts allow.
 2. *Best-fit residuals.*  What has no exact complement is placed, longest
    first, into the open bin with the least room that takes it; equal bins are handled
@@ -25,42 +25,86 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sampleloom.llm.ranges import range_bounds, range_of
 from sampleloom.llm.storage import materialize
+from sampleloom.llm.tokencounts import Tokenizer, counted
 from sampleloom.shipping import ship
 
 CAPACITY = 2048
-#: Number of a text's tokens: its whitespace tokens.
+#: Documents of a range of the order, which are ranked together.
+RANGE_ROWS = 200_000
+#: Number of a text's tokens without a tokenizer: its whitespace tokens.
 LENGTH_SQL = "CAST(regexp_count(text, '[^ \\\\t\\\\n\\\\r\\\\u000b\\\\u000c]+') AS INT)"
 
 
-def _singles(gap: int, have: np.ndarray):
-    return (gap,) if have[gap] else None
+class SumIndex:
+    """Which available lengths sum to a gap: one, two or three of them, the longest first.
 
+    Every sum of two has the longest member of a pair that makes it, and every sum of three
+    that of a triple.  Counts only fall, so these members only fall: an entry that no
+    longer holds moves on from where it is, and an exhausted one (0) stays so.
+    """
 
-def _pairs(gap: int, have: np.ndarray):
-    """The available pair with this sum that has the longest member."""
-    a = np.arange(gap // 2, 0, -1)
-    if not len(a):
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        size = len(have)
+        self.pair_top = np.zeros(size, np.int64)
+        self.triple_top = np.arange(size, dtype=np.int64) - 2
+        known = np.flatnonzero(have[1:]) + 1
+        for a in known[::-1]:
+            b = known[: np.searchsorted(known, min(a, size - 1 - a), "right")]
+            if len(b) and b[-1] == a and have[a] < 2:
+                b = b[:-1]
+            self.pair_top[a + b] = np.maximum(self.pair_top[a + b], a)
+
+    def single(self, gap: int):
+        return (gap,) if self.have[gap] else None
+
+    def _holds(self, a, b):
+        return (self.have[a] > 0) & (self.have[b] > 0) & ((a != b) | (self.have[a] > 1))
+
+    def pair(self, gap: int):
+        """The available pair with this sum that has the longest member."""
+        a = int(self.pair_top[gap])
+        if a and not self._holds(a, gap - a):
+            self.pair_top[gap] = a = self._next_pair(gap, a - 1)
+        return (a, gap - a) if a else None
+
+    def _next_pair(self, gap: int, a: int) -> int:
+        """The longest member, at most a, of an available pair; 0 where there is none."""
+        while 2 * a >= gap:
+            low = max((gap + 1) // 2, a - 4095)
+            some = np.arange(a, low - 1, -1)
+            at = np.flatnonzero(self._holds(some, gap - some))
+            if len(at):
+                return int(some[at[0]])
+            a = low - 1
+        return 0
+
+    def triple(self, gap: int):
+        """The available triple with this sum that has the longest first, then second member."""
+        c = int(self.triple_top[gap])
+        while 3 * c >= gap and c > 0:
+            low = max((gap + 2) // 3, c - 4095)
+            some = np.arange(c, low - 1, -1)
+            for c in some[(self.have[some] > 0) & (self.pair_top[gap - some] > 0)].tolist():
+                found = self._with(c, gap - c)
+                if found:
+                    self.triple_top[gap] = c
+                    return (c, *found)
+            c = low - 1
+        self.triple_top[gap] = 0
         return None
-    ok = (have[a] > 0) & (have[gap - a] > 0) & ((2 * a != gap) | (have[a] > 1))
-    # the longest member is gap - a: the least a
-    at = np.flatnonzero(ok)
-    return (int(gap - a[at[-1]]), int(a[at[-1]])) if len(at) else None
-
-
-def _triples(gap: int, have: np.ndarray):
-    """The available triple with this sum that has the longest first, then second member."""
-    for c in range(gap - 2, (gap + 2) // 3 - 1, -1):
-        if not have[c]:
-            continue
-        have[c] -= 1
-        rest = gap - c
-        b = np.arange(min(c, rest - 1), (rest + 1) // 2 - 1, -1)
-        b = b[(have[b] > 0) & (have[rest - b] > 0) & ((2 * b != rest) | (have[b] > 1))]
-        have[c] += 1
-        if len(b):
-            return (c, int(b[0]), int(rest - b[0]))
-    return None
+
+    def _with(self, c: int, gap: int):
+        """The pair for what is left beside one piece of length c, no member longer than c."""
+        found = self.pair(gap)
+        if found is None:
+            return None
+        self.have[c] -= 1
+        a = found[0] if found[0] <= c and self._holds(*found) else self._next_pair(gap, min(c, found[0]))
+        self.have[c] += 1
+        return (a, gap - a) if a else None
 
 
 def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -68,6 +112,7 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...],
     have = np.array(counts, np.int64)
     plan: list[tuple[tuple[int, ...], int]] = []
     open_bins: dict[int, list] = {}
+    sums = SumIndex(have)
     for length in range(capacity, 0, -1):
         while have[length]:
             gap = capacity - length
@@ -77,8 +122,8 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...],
                 break
             found = None
             have[length] -= 1
-            for look in (_singles, _pairs, _triples):
-                found = look(gap, have)
+            for look in (sums.single, sums.pair, sums.triple):
+                found = look(gap)
                 if found:
                     break
             have[length] += 1
@@ -155,19 +200,23 @@ def written_order(docs: DataFrame) -> Column | None:
     return F.shiftleft(number, 40) + F.col("_metadata.row_index")
 
 
-def _pieces(docs: DataFrame, capacity: int, length_sql: str, order: Column | None = None) -> DataFrame:
+def _pieces(docs: DataFrame, capacity: int, length: str | Tokenizer, order: Column | None = None) -> DataFrame:
     """(doc_id, tokens) of the documents with tokens, and their order, if one is given, as at."""
-    length = F.coalesce(F.expr(length_sql), F.lit(0)).cast("long")
     at = [] if order is None else [order.cast("long").alias("at")]
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *at)
-    return narrow.select("doc_id", length.alias("tokens"), *(["at"] if at else [])).where("tokens > 0")
+    if isinstance(length, Tokenizer):
+        sized = counted(narrow, length, ["text"]).withColumnRenamed("text", "tokens")
+    else:
+        sized = narrow.withColumn("tokens", F.coalesce(F.expr(length), F.lit(0)).cast("long"))
+    return sized.select("doc_id", "tokens", *(["at"] if at else [])).where("tokens > 0")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL, order: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, length: str | Tokenizer = LENGTH_SQL, order: Column | None = None) -> DataFrame:
     """(doc_id, piece, bin_id, bin_offset, length): where each piece of each document lies.
 
     ``piece`` numbers a document's pieces from 0; all but the last of them fill a
-    bin each.  Only doc_id and text are read.  Documents without tokens (null,
+    bin each.  ``length`` is a tokenizer, or SQL over text for the number of tokens.
+    Only doc_id and text are read.  Documents without tokens (null,
     empty and blank texts) take no bin.  A null doc_id is packed like any other.
     Rows that repeat a doc_id are packed one by one; equal documents are
     interchangeable.  An empty table gives no rows.
@@ -180,14 +229,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length_sql: str = LENGTH_SQL
     spark = docs.sparkSession
     ship(spark)
     by = "doc_id" if order is None else "at"
-    sized = materialize(_pieces(docs, capacity, length_sql, order), "lengths")
+    sized = materialize(_pieces(docs, capacity, length, order), "lengths")
     # the last piece of each document is what is planned; its length is 1 .. capacity
     tail = F.expr(f"CAST((tokens - 1) % {capacity} + 1 AS INT)")
-    bounds = sized.agg(F.min(by), F.max(by), F.count("*")).first()
-    low, high, rows = bounds[0] or 0, bounds[1] or 0, bounds[2]
-    ranges = max(1, min(4096, rows // 200_000))
-    width = (high - low) // ranges + 1
-    part = F.coalesce(F.expr(f"CAST(({by} - {low}L) div {width}L AS INT)"), F.lit(-1))
+    part = range_of(by, range_bounds(sized, by, sized.count(), RANGE_ROWS))
     items = sized.withColumn("tail", tail).withColumn("part", part)
     counts = materialize(items.groupBy("tail", "part").agg(F.count("*").alias("n"), F.sum(F.expr(f"(tokens - 1) div {capacity}")).alias("full")), "length-counts")
     histogram = np.zeros(capacity + 1, np.int64)

@@ -48,14 +48,13 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels")
-    tokenizer = tokencounts.Tokenizer()
-    counts = materialize(tokencounts.count_tokens(docs, tokenizer), "token-counts")
+    normal = F.regexp_replace(F.regexp_replace("text", "[ \\t]+(?=\\n|$)", ""), "\\n{3,}", "\n\n")
+    revised = F.when(F.col("text") != normal, normal)
+    counts = materialize(tokencounts.count_tokens(docs, tokencounts.Tokenizer(), revised), "token-counts")  # the texts are read once
     bad = labels.where("quality = 0").select("doc_id").distinct()
     deleted = counts.join(bad, "doc_id", "left_semi")
-    normal = F.regexp_replace(F.regexp_replace("text", "[ \\t]+(?=\\n|$)", ""), "\\n{3,}", "\n\n")
-    changed = docs.withColumn("text2", normal).where("text <> text2").join(bad, "doc_id", "left_anti")
-    revised = tokencounts.count_tokens(changed.drop("text").withColumnRenamed("text2", "text"), tokenizer)
-    was = counts.join(changed.select("doc_id").distinct(), "doc_id", "left_semi")
+    was = counts.where("revised IS NOT NULL").join(bad, "doc_id", "left_anti")
+    revised = was.withColumn("tokens", F.col("revised"))
     rollup = tokencounts.TokenRollup(spark)
     batches = {"insert": (None, counts), "delete": (deleted, None), "revise": (was, revised)}
     for _ in range(2):
@@ -69,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), length=tokencounts.Tokenizer())
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,10 @@ from pathlib import Path
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sampleloom.llm import kernels
 from sampleloom.llm.storage import shared_dir
@@ -29,6 +31,9 @@ from sampleloom.shipping import ship
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary's texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of at least so many characters is encoded apart.
+LONG_RUN = 10_000
+_LONG_SPACE = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
 KEYS = ["source", "lang", "tokenizer"]
 _encodings: dict[str, object] = {}
 
@@ -50,27 +55,53 @@ class Tokenizer:
             _encodings[self.version] = tiktoken.Encoding(self.version, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
         return _encodings[self.version]
 
+    def count(self, text: str) -> int:
+        """The number of tokens; names of special tokens are ordinary text.
+
+        The encoder's pattern runs out of stack on very long white space, so with the pattern above such runs are
+        taken out first: all of a run but its last character is one piece of that pattern (all of it at the text's
+        end), and what comes before and after it is split as if it stood alone.
+        """
+        encoding = self.encoding()
+        if len(text) < LONG_RUN or self.pattern != PATTERN:
+            return len(encoding.encode_ordinary(text))
+        total, at = 0, 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+            at = end
+        return total + len(encoding.encode_ordinary(text[at:]))
+
+
+def counted(df: DataFrame, tokenizer: Tokenizer, texts: list[str]) -> DataFrame:
+    """The rows with the number of tokens (LONG) in place of each of the text columns, null for a null text."""
+    spark = df.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(tokenizer)
+    names = df.columns
+
+    def run(batches):
+        count = shared.value.count
+        for batch in batches:
+            for part in kernels.rebatch([batch], text=texts[0]):
+                cols = [pa.array([None if t is None else count(t) for t in c.to_pylist()], pa.int64()) if n in texts else c for n, c in zip(names, part.columns)]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.LongType()) if f.name in texts else f for f in df.schema.fields]))
+
 
-def count_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: Tokenizer, revised: Column | None = None) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens): the whole texts' tokens.
 
+    With ``revised``, another text of each row or null, there is a column revised for its tokens, null for null.
     Special tokens' names are ordinary text.  A null or empty text has none.
     Other columns are left out; nulls in source and lang stay.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(tokenizer)
     columns = [F.col(c).cast("long" if c == "doc_id" else "string").alias(c) for c in ("doc_id", "source", "lang", "text")]
-
-    def count(batches):
-        encode = shared.value.encoding().encode_ordinary
-        version = shared.value.version
-        for batch in batches:
-            for part in kernels.rebatch([batch], text="text"):
-                n = [len(encode(t)) if t else 0 for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([version] * len(n)), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "tokens"])
-
-    return docs.select(*columns).mapInArrow(count, "doc_id long, source string, lang string, tokenizer string, tokens long")
+    if revised is not None:
+        columns.append(revised.cast("string").alias("revised"))
+    made = counted(docs.select(*columns), tokenizer, ["text", "revised"][: len(columns) - 3])
+    return made.select("doc_id", "source", "lang", F.lit(tokenizer.version).alias("tokenizer"), F.coalesce("text", F.lit(0)).alias("tokens"), *made.columns[4:])
 
 
 def delta(before: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:

@@ -103,3 +103,70 @@ def test_awkward_rows(awkward, empty):
     packed = P.pack(awkward, capacity=128).collect()
     check(awkward.collect(), packed, 128)
     assert P.pack(empty).count() == 0
+
+
+def test_wide_and_lone_doc_ids(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_ROWS", 20)
+    ids = [-9 * 10**18, 9 * 10**18, -(2**63), 2**63 - 1, *range(100)]
+    docs = docs_of(spark, [row(i, prose(i, 30 + abs(i) % 7)) for i in ids])
+    check(docs.collect(), P.pack(docs, capacity=64).collect(), 64)
+
+
+def test_lengths_by_a_tokenizer(spark):
+    from sampleloom.llm.tokencounts import Tokenizer
+
+    t = Tokenizer()
+    docs = docs_of(spark, [row(i, prose(i, 1 + i * 13 % 90)) for i in range(40)] + [row(100, None), row(101, ""), row(102, " ")])
+    packed = P.pack(docs, capacity=64, length=t).collect()
+    total = collections.Counter()
+    for r in packed:
+        total[r.doc_id] += r.length
+        assert r.bin_offset + r.length <= 64
+    assert total == {d.doc_id: t.count(d.text) for d in docs.collect() if d.text}
+
+
+def test_index_of_sums_gives_what_a_search_gives():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        size = int(rng.integers(6, 50))
+        have = np.where(rng.random(size) < 0.4, rng.integers(0, 3, size), 0)
+        have[0] = 0
+        sums = P.SumIndex(have)
+        for _ in range(60):
+            gap = int(rng.integers(1, size))
+            left = collections.Counter({n: int(k) for n, k in enumerate(have)})
+            got = sums.single(gap) or sums.pair(gap) or sums.triple(gap)
+            assert got == complement(gap, left)
+            for n in got or ():
+                have[n] -= 1
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """op8 over a small table: lengths by the tokenizer, the plan one by one, equal lengths in the order of doc_id."""
+    from sampleloom.llm.queries import op8_best_fit_packing
+    from sampleloom.llm.tokencounts import Tokenizer
+
+    rows = [row(i, prose(i, 40 + i * 97 % 900)) for i in range(60)] + [row(99, prose(99, 3000)), row(100, None), row(101, prose(7, 40 + 7 * 97 % 900))]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    t, capacity = Tokenizer(), P.CAPACITY
+    lengths = {r[0]: t.count(r[1] or "") for r in rows}
+    tails = {i: (n - 1) % capacity + 1 for i, n in lengths.items() if n}
+    exact, rest = one_by_one(list(tails.values()), capacity)
+    packed = op8_best_fit_packing(spark, str(tmp_path)).collect()
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r.bin_id].append(r)
+    full = [b for b in bins.values() if len(b) == 1 and b[0].length == capacity and lengths[b[0].doc_id] > capacity and b[0].piece < (lengths[b[0].doc_id] - 1) // capacity]
+    assert len(full) == sum((n - 1) // capacity for n in lengths.values() if n)
+    tail_bins = collections.Counter(tuple(sorted(r.length for r in b)) for b in bins.values() if b not in full)
+    assert sum(tail_bins.values()) == len(exact) + len(rest)
+    want = collections.Counter(tuple(sorted(b)) for b in exact)
+    assert all(tail_bins[b] >= n for b, n in want.items())
+    placed = {r.doc_id: r for r in packed if r.piece == (lengths[r.doc_id] - 1) // capacity}
+    assert {i: r.length for i, r in placed.items()} == tails
+    for b in bins.values():
+        at = 0
+        for r in sorted(b, key=lambda r: r.bin_offset):
+            assert r.bin_offset == at
+            at += r.length
+        assert at <= capacity

@@ -1,6 +1,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 from sampleloom.llm import tokencounts as C
 
@@ -72,3 +73,16 @@ def test_awkward_rows(spark, awkward, empty, tokenizer):
     assert C.delta(None, C.count_tokens(empty, tokenizer)).count() == 0
     with pytest.raises(ValueError):
         C.delta()
+
+
+def test_very_long_white_space(tokenizer):
+    encode = tokenizer.encoding().encode_ordinary
+    for text in ("a  " + " " * 12_000 + "b", "x\n" + " \t" * 6000, " " * 12_000, "é" + " " * 9999 + "   word" + "\n" * 11_000 + "\n\nz" + " " * 10_000 + "'s", " " * 10_000 + "\x1c" + "\u2003" * 10_001 + "1"):
+        assert tokenizer.count(text) == len(encode(text))
+    assert tokenizer.count("w" + " " * 2_000_000 + "\nw") == tokenizer.count("w" + " " * 2_000_000) + 2
+
+
+def test_a_document_of_white_space(spark, tokenizer):
+    docs = docs_of(spark, [row(1, " " * 1_000_000), row(2, prose(1, 5))])
+    got = {r.doc_id: r for r in C.count_tokens(docs, tokenizer, F.when(F.col("doc_id") == 2, F.lit("one two"))).collect()}
+    assert got[1].tokens > 0 and got[1].revised is None and got[2].revised == 2
