@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sampleloom.llm import mixing, packing, quality, simhash, substrings
+from sampleloom.llm import mixing, packing, quality, simhash, substrings, tokencounts
 from sampleloom.llm.storage import materialize
 
 
@@ -30,7 +30,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document in training sequences of ``packing.CAPACITY`` tokens; sequences follow the order of the rows as written."""
-    return packing.pack(docs, order=packing.written_order(docs))
+    return packing.pack(docs, length=tokencounts.Tokenizer(), order=packing.written_order(docs))
 
 
 STAGES = [
