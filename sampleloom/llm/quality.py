@@ -21,19 +21,20 @@ STOP_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
 
-#: metric: (Spark SQL, DuckDB SQL) over text, lang, words (its whitespace tokens), lines, n_words and n_lines.
+_WS = "[ \\t\\n\\r\\x0b\\x0c]+"
+#: metric: (Spark SQL, DuckDB SQL) over text, lang, words (its whitespace tokens), lines, n_words, n_lines and n_distinct (words).
 METRICS = {
     "word_count": ("n_words", "n_words"),
     "mean_word_length": ("length(array_join(words, '')) / n_words", "length(array_to_string(words, '')) / n_words"),
-    "symbols_per_word": ("(length(text) - length(translate(text, '{symbols}', ''))) / n_words",) * 2,
+    "symbols_per_word": ("length(regexp_replace(text, r'[^{symbol_class}]+', '')) / n_words", "(length(text) - length(translate(text, '{symbols}', ''))) / n_words"),
     "exclamations_per_word": ("(length(text) - length(replace(text, '!', ''))) / n_words",) * 2,
-    "upper_share": ("(length(text) - length(translate(text, '{upper}', ''))) / length(text)",) * 2,
+    "upper_share": ("length(regexp_replace(text, '[^A-Z]+', '')) / length(text)", "(length(text) - length(translate(text, '{upper}', ''))) / length(text)"),
     "stop_word_share": (
         "CASE lang " + "{spark_stops}" + " END / n_words",
         "CASE lang " + "{duck_stops}" + " END / n_words",
     ),
-    "distinct_words_short": ("size(array_distinct(words)) / least(n_words, 500)", "len(list_distinct(words)) / least(n_words, 500)"),
-    "distinct_words_long": ("size(array_distinct(words)) / least(n_words, 10000)", "len(list_distinct(words)) / least(n_words, 10000)"),
+    "distinct_words_short": ("n_distinct / least(n_words, 500)",) * 2,
+    "distinct_words_long": ("n_distinct / least(n_words, 10000)",) * 2,
     "repeated_line_share": (
         "CASE WHEN n_lines >= 4 THEN 1 - size(array_distinct(lines)) / n_lines END",
         "CASE WHEN n_lines >= 4 THEN 1 - len(list_distinct(lines)) / n_lines END",
@@ -70,9 +71,9 @@ def _metric(name: str, spark: bool) -> str:
         ("duck_stops", "len(list_filter(words, lambda x: lower(x) IN ({})))"),
     ):
         stops[key] = " ".join(f"WHEN '{lang}' THEN " + form.format(", ".join(f"'{w}'" for w in words)) for lang, words in STOP_WORDS.items())
-    symbols = SYMBOLS.replace("\\", "\\\\") if spark else SYMBOLS  # a backslash in a literal
     out = METRICS[name][0 if spark else 1]
-    for key, value in (("symbols", _quoted(symbols)), ("upper", UPPER), *stops.items()):
+    escaped = "".join("\\" + c for c in SYMBOLS)  # within a character class
+    for key, value in (("symbol_class", escaped), ("symbols", _quoted(SYMBOLS)), ("upper", UPPER), *stops.items()):
         out = out.replace("{" + key + "}", value)
     return out
 
@@ -97,31 +98,25 @@ def judged(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     are left alone.
     """
     names = docs.columns
-    cells = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     # the row travels in one struct, so no name of its columns meets one of those made here
-    base = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("__doc"), cells.alias("__in"))
-    flat = "translate(__in.text, '\\t\\n\\r\\u000b\\u000c', '     ')"
-    # A generator of one row: unlike a projection it is never folded into the expressions over it, so each text is cut once.
-    cut = F.expr(f"inline(array(named_struct('__w', array_remove(split({flat}, ' '), ''), '__l', split(__in.text, '\\n'))))")
-    tokens = base.select("*", cut)
-    values = []
-    for metric in dict.fromkeys(r[1] for r in rules):
-        e = _metric(metric, True)
-        for name, path in (("n_words", "size(__w)"), ("n_lines", "size(__l)"), ("words", "__w"), ("lines", "__l"), ("text", "__in.text"), ("lang", "__in.lang")):
-            e = _replace_name(e, name, path)
-        # no words: no ratios
-        values.append(f"'{metric}', " + (e if metric == "word_count" else f"CASE WHEN size(__w) > 0 THEN {e} END"))
-    measured = tokens.select("__doc", F.expr("size(__w)").alias("__words"), F.expr(f"inline(array(named_struct('m', named_struct({', '.join(values)}))))"))
+    base = docs.select(
+        F.struct(*(F.col(f"`{n}`") for n in names)).alias("__doc"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+    )
+    bare = f"trim(BOTH ' \\t\\n\\r\\u000b\\u000c' FROM text)"
+    cut = base.withColumns({"words": F.expr(f"split(nullif({bare}, ''), r'{_WS}')"), "lines": F.expr("split(text, '\\n')")})
+    counted = cut.withColumns({"words": F.expr("coalesce(words, array())"), "n_lines": F.size("lines")})
+    counted = counted.withColumns({"n_words": F.size("words"), "n_distinct": F.size(F.array_distinct("words"))})
+    # no words: no ratios
+    values = [f"'{m}', " + (e if m == "word_count" else f"CASE WHEN n_words > 0 THEN {e} END") for m in dict.fromkeys(r[1] for r in rules) for e in [_metric(m, True)]]
+    # The task's number, which isn't deterministic to the optimiser, keeps filters on the metrics from being pushed below
+    # this projection, where each would be computed once more.
+    measured = counted.select("__doc", F.col("n_words").alias("__words"), F.expr(f"named_struct({', '.join(values)}, 'task', spark_partition_id())").alias("m"))
     failed = compile_rules(rules).replace("n_words >=", "__words >=")
     return measured.select("__doc", "__words", F.expr(failed).alias("__failed"), F.col("m").alias("__metrics"))
 
 
-def _replace_name(e: str, name: str, path: str) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w.'])\b{name}\b(?!')", path, e)
-
-
 def passing(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """The rows of ``docs`` that fail no rule, with their columns as they were.  See :func:`judged` for nulls."""
     return judged(docs, rules).where("size(__failed) = 0").select(*(F.col(f"__doc.`{n}`") for n in docs.columns))
@@ -142,7 +137,7 @@ def report_sql(rules: list[tuple] = RULES) -> str:
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents),
 s AS (SELECT *, list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM t),
-n AS (SELECT *, len(words) AS n_words, len(lines) AS n_lines FROM s),
+n AS (SELECT *, len(words) AS n_words, len(lines) AS n_lines, len(list_distinct(words)) AS n_distinct FROM s),
 m AS (SELECT doc_id, n_words, {m} FROM n)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in metrics if k != 'word_count')} FROM m WHERE {failures}
 """
