@@ -1,6 +1,6 @@
 """Language identification by sparse multinomial logistic regression.
 
-Features are the TF-IDF weights of hashed byte n-grams (1 to 4 bytes of the
+Features are the TF-IDF weights of hashed character n-grams (1 to 4 code points of the
 lower-cased text, white space runs as one space), with term frequencies as
 shares of the text's n-grams.  Document frequencies come from *all* documents.
 Weights are trained by follow-the-regularised-leader with per-coordinate
@@ -9,8 +9,8 @@ sample of labelled rows; a temperature fitted on rows held out from training cal
 probabilities.
 
 Scoring needs no per-document vectors: a text's score for a language is the mean
-over its n-gram positions of idf times weight, two gathers and a running sum over the
-batch's flat bytes.
+over its n-gram positions of idf times weight, a gather and segmented sums over the
+batch's flat characters.
 """
 
 from __future__ import annotations
@@ -34,31 +34,45 @@ HELD_OUT = 0.2
 LEAST_ROWS = 40
 _GRAIN = 1 << 40
 _MULT = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263))
+#: Lower case of the code points up to the end of the basic plane that have one of a single code point; a space for all white space.
+_LOWER = np.arange(1 << 16, dtype=np.uint32)
+for _c in range(1 << 16):
+    if not 0xD800 <= _c < 0xE000 and len(chr(_c).lower()) == 1:
+        _LOWER[_c] = 32 if chr(_c).isspace() else ord(chr(_c).lower())
 
 
 def _normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat lower-cased bytes with white space as spaces, and offsets."""
+    """Flat lower-cased code points with each run of white space as one space, and offsets."""
     data, offsets = kernels.buffers(texts)
-    data = kernels.LOWER_TABLE[data]
-    data[kernels.WS_TABLE[data]] = 32
-    return data, offsets
-
-
-def ngram_buckets(data: np.ndarray, n: int) -> np.ndarray:
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    if len(points) != len(data):  # positions of characters instead of bytes
+        offsets = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    lower = _LOWER.take(points, mode="clip")
+    lower[beyond] = points[beyond]
+    space = lower == 32
+    again = space[1:] & space[:-1]
+    if again.any():
+        again = np.concatenate(([False], again))
+        again[offsets[:-1][offsets[:-1] < len(lower)]] = False  # a text's first one stays
+        offsets = np.concatenate(([0], np.cumsum(~again)))[offsets]
+        lower = lower[~again]
+    return lower, offsets
+
+
+def ngram_buckets(points: np.ndarray, n: int) -> np.ndarray:
     """The bucket of the n-gram at each position (fewer positions at the end), within 0 .. BUCKETS - 1."""
-    size = len(data) - n + 1
+    size = len(points) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint16)
-    packed = data[:size].astype(np.uint32)
+    mixed = points[:size] * _MULT[0]
     for k in range(1, n):
-        packed <<= np.uint32(8)
-        packed |= data[k : k + size]
-    if n == 1:
-        return packed.astype(np.uint16)
-    packed *= _MULT[n - 1]
-    packed ^= packed >> np.uint32(15)
-    packed *= _MULT[0]
-    return (packed >> np.uint32(18)).astype(np.uint16)  # 14 bits
+        mixed ^= mixed >> np.uint32(15)
+        mixed += points[k : k + size]
+        mixed *= _MULT[k]
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= _MULT[1]
+    return (mixed >> np.uint32(18)).astype(np.uint16)  # 14 bits
 
 
 def _spans(offsets: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +189,7 @@ class LanguageModel:
 
     def __init__(self, regression: FtrlRegression, idf: np.ndarray):
         self.classes = regression.classes
-        self.table = (idf[:, None] * regression.weights()).astype(np.float32)
+        self.table = np.asfortranarray(idf[:, None] * regression.weights())
         self.temperature = regression.temperature
 
     def logits(self, texts: pa.Array) -> np.ndarray:
@@ -187,12 +201,15 @@ class LanguageModel:
             if not len(h):
                 continue
             first, last = _spans(offsets, n, len(h))
-            size = np.maximum(last - first, 1)
+            some = np.flatnonzero(last > first)
+            if not len(some):
+                continue
             rows = self.table[k * BUCKETS : (k + 1) * BUCKETS]
+            # sums from each text's first n-gram to its last, and of what lies between
+            cuts = np.column_stack((first[some], last[some])).ravel()
+            cuts = cuts[:-1] if cuts[-1] == len(h) else cuts
             for c in range(len(self.classes)):
-                run = np.zeros(len(h) + 1)
-                np.cumsum(rows[:, c][h], dtype=np.float64, out=run[1:])
-                out[:, c] += (run[last] - run[first]) / size
+                out[some, c] += np.add.reduceat(rows[:, c][h], cuts, dtype=np.float64)[::2] / (last - first)[some]
         return out
 
 
@@ -271,7 +288,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     def predict(batches):
         m = shared.value
         for batch in batches:
-            for part in kernels.rebatch([batch]):
+            for part in kernels.rebatch([batch], max_bytes=1 << 20):
                 p = softmax(m.logits(part.column(1)) / m.temperature)
                 blank = np.asarray(part.column(2))
                 best = p.argmax(1)
