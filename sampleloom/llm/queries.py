@@ -64,7 +64,8 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.decide(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.decide(pages, urlfilter.service_redirects(pages))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ A page's decision is, in this order: ``allow`` where a rule allows its own
 address explicitly, ``block`` where a rule blocks its address or that of an
 alias, else ``pass``.  An allowance isn't inherited: a page doesn't get off a
 block list by naming an allowed page as its canonical address.
+
+Rules are a table of any size: each address has some ten keys (itself, its host,
+the host's suffixes and names), which meet the rules in an equi-join.
 """
 
 from __future__ import annotations
@@ -21,12 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.llm.components import connected_components
+from sampleloom.llm.storage import materialize
 from sampleloom.shipping import ship
 
-#: Domains that are blocked with all their hosts.
-BLOCKED_DOMAINS = ("adult-x.example.com", "spam-farm.example.org", "cheap-pills.example.net", "ads-track.example.com", "casino-win.example.net", "free-bets.example.net")
-#: Domains that are allowed explicitly with all their hosts.
-ALLOWED_DOMAINS: tuple[str, ...] = ()
+#: The rules of the query, (rule, decision).  A rule is a domain, which holds for all its hosts; with ``=`` before it
+#: a host and no other below it; with ``.*`` after it that name under any suffix; or with a path a single address.
+RULES = (
+    ("adult-x.*", "block"),
+    ("spam-farm.*", "block"),
+    ("cheap-pills.*", "block"),
+    ("=ads-track.*", "block"),
+    ("casino-win.*", "block"),
+    ("free-bets.*", "block"),
+    ("ads-track.example.org", "allow"),
+    ("free-bets.example.com", "allow"),
+)
 #: Query parameters that don't tell pages apart.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|mc_[a-z]+|sessionid"
 
@@ -61,14 +73,30 @@ def normalised(url: str, duck: bool = False) -> str:
     return f"transform(array({e}), x -> concat({clean}, substr(x, length({bare}) + 1)))[0]"
 
 
-def _domain_rule(key: str, domains: tuple[str, ...]) -> str:
-    """SQL: whether an address lies in one of the domains."""
-    if not domains:
-        return "false"
-    host = f"regexp_extract({key}, '^[^/?]*', 0)"
-    return "(" + " OR ".join(f"{host} = '{d}' OR {host} LIKE '%.{d}'" for d in domains) + ")"
+def rule_keys(address: str) -> str:
+    """SQL for the array of the rules that would hold for a normalised address."""
+    host = f"regexp_extract({address}, '^[^/?]*', 0)"
+    return f"""transform(array(split({host}, '[.]')), p -> array_distinct(concat(
+        array({address}, concat('=', array_join(p, '.')), concat('=', p[0], '.*')),
+        transform(sequence(1, size(p)), i -> array_join(slice(p, i, size(p)), '.')),
+        transform(p, x -> concat(x, '.*')))))[0]"""
+
+
+def _ruled(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(address, blocked, allowed) of the distinct ``addresses`` that a rule holds for."""
+    keyed = addresses.where("address IS NOT NULL").distinct().select("address", F.explode(F.expr(rule_keys("address"))).alias("rule"))
+    says = rules.select(F.lower(F.trim("rule")).alias("rule"), F.lower("decision").alias("decision"))
+    says = says.where("rule IS NOT NULL").groupBy("rule").agg(*(F.coalesce(F.max(F.col("decision") == d), F.lit(False)).alias(n) for d, n in (("block", "blocked"), ("allow", "allowed"))))
+    return keyed.join(says, "rule").groupBy("address").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
+
+
+def service_redirects(pages: DataFrame) -> DataFrame:
+    """(src, dst): pages on a site's mobile or blog host redirect to the site's own host."""
+    url = F.col("url").cast("string")
+    return pages.select(url.alias("src"), F.regexp_replace(url, _SERVICE, "$1").alias("dst")).where("src <> dst")
 
 
+_SERVICE = r"(?i)^(https?://)(?:m|blog)[.]"
 _CANONICAL = r"""(?i)<link\s[^>]*rel=["']?canonical["']?[^>]*>"""
 _REFRESH = r"""(?i)<meta\s[^>]*http-equiv=["']?refresh["']?[^>]*>"""
 
@@ -109,48 +137,60 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return found.select(F.expr(normalised("url")).alias("src"), F.expr(normalised("to")).alias("dst"))
 
 
-def decide(
-    pages: DataFrame,
-    redirects: DataFrame | None = None,
-    blocked: tuple[str, ...] = BLOCKED_DOMAINS,
-    allowed: tuple[str, ...] = ALLOWED_DOMAINS,
-) -> DataFrame:
+def decide(pages: DataFrame, redirects: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """(page_id, url_key, decision) of every page, the decision being ``allow``, ``block`` or ``pass``.
 
-    ``redirects`` has src and dst addresses, in any form.  Only page_id, url and
+    ``redirects`` has src and dst addresses, in any form.  ``rules`` has rule and decision (see RULES, which hold
+    where none are given); a rule that says both counts as both, and null rules and other decisions as none.  Only page_id, url and
     html are read.  A null url is in no class and passes, with a null url_key;
     a null html has no links.  Repeated rows are decided alike, each on its
     own; an empty table gives no rows.
     """
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
+    if rules is None:
+        rules = spark.createDataFrame(list(RULES), "rule string, decision string")
     edges = page_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.expr(normalised("CAST(src AS STRING)")).alias("src"), F.expr(normalised("CAST(dst AS STRING)")).alias("dst")))
     classes = connected_components(edges)
-    # Addresses that only edges name may be blocked, too.
-    verdicts = classes.groupBy("component").agg(F.max(F.expr(_domain_rule("node", blocked))).alias("hit")).where("hit").select("component")
-    tainted = classes.join(verdicts, "component", "left_semi").select(F.col("node").alias("__node")).distinct()
     keyed = pages.select("page_id", F.expr(normalised("CAST(url AS STRING)")).alias("url_key"))
-    joined = keyed.join(tainted, keyed["url_key"] == tainted["__node"], "left")
-    decision = F.expr(
-        f"CASE WHEN {_domain_rule('url_key', allowed)} THEN 'allow' WHEN __node IS NOT NULL OR {_domain_rule('url_key', blocked)} THEN 'block' ELSE 'pass' END"
-    )
-    return joined.select("page_id", "url_key", decision.alias("decision"))
+    # Addresses that only edges name may be blocked, too.
+    ruled = materialize(_ruled(keyed.select(F.col("url_key").alias("address")).unionByName(classes.select(F.col("node").alias("address"))), rules), "ruled-addresses")
+    hit = classes.join(ruled.where("blocked"), classes["node"] == ruled["address"], "left_semi").select("component").distinct()
+    tainted = classes.join(hit, "component", "left_semi").select(F.col("node").alias("address"), F.lit(True).alias("blocked"), F.lit(False).alias("allowed"))
+    said = ruled.unionByName(tainted).groupBy("address").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
+    joined = keyed.join(said, keyed["url_key"] == said["address"], "left")
+    return joined.select("page_id", "url_key", F.expr("CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'pass' END").alias("decision"))
+
+
+def _holds(key: str, decision: str) -> str:
+    """DuckDB SQL: whether one of RULES with this decision holds for an address."""
+    host = f"regexp_extract({key}, '^[^/?]*', 0)"
+    tests = []
+    for rule, what in RULES:
+        if what == decision:
+            name = rule.removeprefix("=").removesuffix(".*").replace(".", "[.]")
+            before = "^" if rule.startswith("=") else "(^|[.])"
+            tests.append(f"regexp_matches({host}, '{before}{name}{'([.]|$)' if rule.endswith('.*') else '$'}')")
+    return "(" + " OR ".join(tests) + ")"
 
 
-def decide_sql(blocked: tuple[str, ...] = BLOCKED_DOMAINS, allowed: tuple[str, ...] = ALLOWED_DOMAINS) -> str:
-    """DuckDB SQL for :func:`decide` over a table ``pages``; of links it takes a page's first of each kind, if absolute or from the root."""
+def decide_sql() -> str:
+    """DuckDB SQL for the query over a table ``pages``; of links it takes a page's first of each kind, if absolute or from the root."""
     link = f"regexp_extract(html, '{_CANONICAL.replace(chr(39), chr(39) * 2)}', 0)"
     meta = f"regexp_extract(html, '{_REFRESH.replace(chr(39), chr(39) * 2)}', 0)"
     value = r"""=["'']?([^"''\s>]+)"""
+    service = "regexp_replace(url, '^(https?://)(m|blog)[.]', '\\1', 'i')"
     return rf"""
 WITH RECURSIVE t AS (SELECT url, unnest([regexp_extract({link}, '(?i)href{value}', 1), regexp_extract({meta}, '(?i)url{value}', 1)]) AS target FROM pages WHERE url IS NOT NULL),
 f AS (SELECT url, CASE WHEN starts_with(target, '//') THEN 'http:' || target
-                       WHEN starts_with(target, '/') THEN regexp_extract(url, '^([A-Za-z]+://)?[^/?#]*', 0) || target ELSE target END AS target FROM t WHERE target <> ''),
+                       WHEN starts_with(target, '/') THEN regexp_extract(url, '^([A-Za-z]+://)?[^/?#]*', 0) || target ELSE target END AS target FROM t WHERE target <> ''
+      UNION ALL SELECT url, {service} FROM pages WHERE url <> {service}),
 e AS (SELECT {normalised('url', True)} AS src, {normalised('target', True)} AS dst FROM f WHERE regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://')),
 b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
-bad AS (SELECT u AS node FROM b WHERE {_domain_rule('u', blocked)} UNION SELECT b.v FROM bad JOIN b ON b.u = bad.node),
+bad AS (SELECT u AS node FROM b WHERE {_holds('u', 'block')} UNION SELECT b.v FROM bad JOIN b ON b.u = bad.node),
 k AS (SELECT page_id, {normalised('url', True)} AS url_key FROM pages)
-SELECT page_id, url_key, CASE WHEN {_domain_rule('url_key', allowed)} THEN 'allow'
-  WHEN url_key IN (SELECT node FROM bad) OR {_domain_rule('url_key', blocked)} THEN 'block' ELSE 'pass' END AS decision FROM k
+SELECT page_id, url_key, CASE WHEN {_holds('url_key', 'allow')} THEN 'allow'
+  WHEN url_key IN (SELECT node FROM bad) OR {_holds('url_key', 'block')} THEN 'block' ELSE 'pass' END AS decision FROM k
 """

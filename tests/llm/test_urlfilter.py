@@ -9,6 +9,10 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", "y", "z", "w") for r in rows], PAGE)
 
 
+def rules(spark, **said):
+    return spark.createDataFrame([(r, d) for d, r in said.items()], "rule string, decision string")
+
+
 def link(to):
     return f'<html><head><link rel="canonical" href="{to}"></head></html>'
 
@@ -43,7 +47,7 @@ def test_blocks_go_to_aliases_and_explicit_allowances_stay(spark):
         (9, "http://d.com/1", "plain"),
     ]
     redirects = spark.createDataFrame([("http://d.com/1", "http://e.com/1"), ("http://e.com/1", "http://evil.com/"), (None, "x")], "src string, dst string")
-    got = sorted((r.page_id, r.decision) for r in U.decide(pages(spark, rows), redirects, ("evil.com",), ("good.com",)).collect())
+    got = sorted((r.page_id, r.decision) for r in U.decide(pages(spark, rows), redirects, rules(spark, block="evil.com", allow="good.com")).collect())
     assert got == [(1, "block"), (2, "block"), (3, "block"), (4, "block"), (5, "pass"), (6, "allow"), (7, "block"), (8, "pass"), (9, "block"), (9, "block")]
 
 
@@ -54,7 +58,8 @@ def test_sql_says_the_same(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
-    got = sorted(map(tuple, U.decide(pages(spark, rows)).collect()))
+    table = pages(spark, rows)
+    got = sorted(map(tuple, U.decide(table, U.service_redirects(table)).collect()))
     assert got == sorted(con.execute(U.decide_sql()).fetchall())
     assert {r[2] for r in got} == {"block"}
 
@@ -78,10 +83,42 @@ def test_empty_and_null(spark):
 )
 def test_every_link_of_a_page_is_an_edge(spark, url, html):
     rows = [(1, url, html), (2, "http://a.com/d/bad.html", link("http://evil.com/")), (3, "http://a.com/q", link("mailto:x@evil.com"))]
-    got = {r.page_id: r.decision for r in U.decide(pages(spark, rows), None, ("evil.com",), ()).collect()}
+    got = {r.page_id: r.decision for r in U.decide(pages(spark, rows), None, rules(spark, block="evil.com")).collect()}
     assert got == {1: "block", 2: "block", 3: "pass"}
 
 
 def test_query_targets_are_resolved(spark):
     rows = [(1, "http://a.com/d/p?id=1", link("?id=2")), (2, "http://a.com/d/p?id=2", link("http://evil.com/"))]
-    assert {r.decision for r in U.decide(pages(spark, rows), None, ("evil.com",), ()).collect()} == {"block"}
+    assert {r.decision for r in U.decide(pages(spark, rows), None, rules(spark, block="evil.com")).collect()} == {"block"}
+
+
+@pytest.mark.parametrize(
+    ("rule", "yes", "no"),
+    [
+        ("evil.com", ["evil.com/x", "a.b.evil.com", "EVIL.com?x=1"], ["notevil.com", "evil.com.org", "good.com/evil.com"]),
+        ("=evil.com", ["evil.com/x"], ["a.evil.com/x"]),
+        ("evil.*", ["evil.com", "a.evil.co.uk/x"], ["devil.com", "x.com/evil.com"]),
+        ("=evil.*", ["evil.net/q"], ["m.evil.net/q"]),
+        ("a.com/p", ["a.com/p", "http://www.a.com/p/"], ["a.com/p2", "a.com"]),
+    ],
+)
+def test_forms_of_rules(spark, rule, yes, no):
+    rows = [(i, u, None) for i, u in enumerate(yes + no)]
+    got = {r.page_id: r.decision for r in U.decide(pages(spark, rows), None, rules(spark, block=rule)).collect()}
+    assert [got[i] for i in range(len(rows))] == ["block"] * len(yes) + ["pass"] * len(no)
+
+
+def test_both_decisions_and_aliases_occur_in_the_query(spark, tmp_path):
+    from sampleloom.llm.queries import op10_url_filter
+
+    rows = [(1, "http://m.casino-win.example.net/a", "p"), (2, "http://casino-win.example.com/b", "p"), (3, "http://blog.free-bets.example.com/c", "p"), (4, "http://m.fine.example.com", "p"), (5, "http://blog.free-bets.example.net/c", "p")]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.decision for r in op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "pass", 5: "block"}
+
+
+def test_many_rules_and_odd_ones(spark):
+    said = [(f"site{i}.com", "block") for i in range(3000)] + [(None, "block"), ("x.com", None), ("y.com", "other"), (" Z.com ", "BLOCK"), ("site5.com", "allow")]
+    rows = [(1, "http://a.site17.com", None), (2, "http://x.com", None), (3, "http://y.com", None), (4, "http://z.com", None), (5, "http://site5.com", None)]
+    got = {r.page_id: r.decision for r in U.decide(pages(spark, rows), None, spark.createDataFrame(said, "rule string, decision string")).collect()}
+    assert got == {1: "block", 2: "pass", 3: "pass", 4: "block", 5: "allow"}
