@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sampleloom.functions import core
+from sampleloom.shipping import ship
 from sampleloom.types import INDEX, axis, column_type, element, fresh, is_bytes, rank, require
 
 
@@ -174,13 +177,14 @@ def shard(df: DataFrame, key: str, num_shards: int, output_key: str = "") -> Dat
 def remove_value(df: DataFrame, key: str, size_key: str, dim: int, value: float, pad: float = 0) -> DataFrame:
     """Deletes the value among the first ``size_key`` entries, shifts the rest left and pads to the same length.
 
-    ``size_key`` becomes the number of entries left.
+    ``size_key`` becomes the number of entries left.  Of a nested array it has one number for each line along
+    ``dim``, an array of the other extents.
     """
     dt = column_type(df, key)
     require(df, size_key)
     d = axis(dim, rank(dt))
-    if d != rank(dt) - 1 or rank(dt) > 1:
-        raise ValueError("values are removed along the only dimension")
+    if rank(dt) > 1:
+        return _along(df, key, size_key, d, lambda x, n: core.remove(x, n, d, value, pad))
     x = F.col(f"`{key}`")
     left = F.filter(F.slice(x, 1, F.greatest(F.least(F.col(f"`{size_key}`").cast("int"), F.size(x)), F.lit(0))), lambda v: v != F.lit(value))
     name = fresh(df, "__left")
@@ -191,15 +195,36 @@ def remove_value(df: DataFrame, key: str, size_key: str, dim: int, value: float,
     return out.withColumn(size_key, n.cast("long")).drop(name)
 
 
+def _along(df: DataFrame, key: str, size_key: str, dim: int, f: Callable) -> DataFrame:
+    """``f`` of each nested array and its lines' lengths, as numpy arrays; it gives both anew."""
+    ship(df.sparkSession)
+    kind = T.StructType([T.StructField("x", column_type(df, key)), T.StructField("n", column_type(df, size_key))])
+
+    def one(x, n):
+        if x is None or n is None:
+            return None
+        made, left = f(np.asarray(x), np.asarray(n, np.int64))
+        return {"x": made.tolist(), "n": left.tolist()}
+
+    name = fresh(df, "__made")
+    made = df.withColumn(name, F.udf(one, kind, useArrow=True).asNondeterministic()(F.col(f"`{key}`"), F.col(f"`{size_key}`")))
+    return made.withColumn(key, F.col(name)["x"]).withColumn(size_key, F.col(name)["n"]).drop(name)
+
+
 def uniq(x: Column, length: Column | None = None) -> Column:
     """Without consecutive repetitions among the first ``length`` entries."""
     x = x if length is None else F.slice(x, 1, length)
     return F.filter(x, lambda v, i: (i == 0) | (v != F.get(x, i - 1)))
 
 
-def uniq_key(df: DataFrame, key: str, size_key: str = "", pad: float = 0, output_key: str = "") -> DataFrame:
+def uniq_key(df: DataFrame, key: str, size_key: str = "", pad: float = 0, output_key: str = "", dim: int = -1) -> DataFrame:
     """:func:`uniq` padded to the same length; the number of entries left goes to ``size_key``."""
     dt = column_type(df, key)
+    if rank(dt) > 1:
+        if not size_key or (output_key or key) != key:
+            raise ValueError("a nested array is changed in place, with a key for its lengths")
+        d = axis(dim, rank(dt))
+        return _along(df, key, size_key, d, lambda x, n: core.uniq(x, n, d, pad))
     x = F.col(f"`{key}`")
     length = F.least(F.col(f"`{size_key}`").cast("int"), F.size(x)) if size_key and size_key in df.columns else None
     left, whole = fresh(df, "__left"), fresh(df, "__all")

@@ -1,21 +1,25 @@
 """Tokenizers over bytes: a trie lattice with shortest or random paths, and byte-pair merges.
 
 The classes are plain Python without Spark; the operators at the end broadcast
-them to Arrow functions, which remember each word's result within a task.
+them to Arrow functions, which compute each distinct piece of a batch once, remember
+pieces from batch to batch within a worker process, and put tokens together by numpy.
 """
 
 from __future__ import annotations
 
 import random
-import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute available
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleloom.functions.arrays import as_bytes
+from sampleloom.functions.buffers import flat_bytes
 from sampleloom.shipping import ship
 from sampleloom.types import INDEX
 
@@ -313,9 +317,9 @@ class BPETokenizer:
 
 # ---------------------------------------------------------------- operators
 
-#: Pieces that begin at each space, and at most so many of them remembered in a task.
-_PIECE = re.compile(rb"(?s) ?[^ ]*")
+#: Pieces of an operator that a process remembers at most; others are computed anew.
 _REMEMBERED = 1_000_000
+_known: dict[str, dict[bytes, np.ndarray]] = {}
 
 
 def _cuts_at_spaces(tokens: Iterable[bytes]) -> bool:
@@ -323,24 +327,39 @@ def _cuts_at_spaces(tokens: Iterable[bytes]) -> bool:
     return not any(b" " in t[1:] for t in tokens)
 
 
-def _by_pieces(texts: list, f: Callable[[bytes], list[int]], apart: bool) -> list:
-    """f of each text, or where ``apart`` the joined results of its pieces, each computed once."""
-    known: dict[bytes, list[int]] = {}
-    out = []
-    for v in texts:
-        if v is None:
-            out.append(None)
-            continue
-        tokens: list[int] = []
-        for piece in _PIECE.findall(v) if apart else (v,):
-            made = known.get(piece)
-            if made is None:
-                made = f(piece)
-                if len(known) < _REMEMBERED:
-                    known[piece] = made
-            tokens += made
-        out.append(tokens)
-    return out
+def _by_pieces(texts: pa.Array, f: Callable[[bytes], list[int]], apart: bool, name: str) -> pa.Array:
+    """f of each text, or where ``apart`` the joined results of its pieces, which begin at each space.
+
+    ``name`` tells the operator whose pieces are remembered.
+    """
+    data, offsets = flat_bytes(texts)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    if apart:
+        flag = data == 32
+        flag[starts] = True
+        starts = np.flatnonzero(flag)
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    if name not in _known:
+        _known.clear()  # one operator's pieces at a time
+        _known[name] = {}
+    known, made = _known[name], []
+    for piece in pieces.dictionary.to_pylist():
+        tokens = known.get(piece)
+        if tokens is None:
+            tokens = np.array(f(piece), np.int32)
+            if len(known) < _REMEMBERED:
+                known[piece] = tokens
+        made.append(tokens)
+    which = np.asarray(pieces.indices)
+    size = np.array([len(t) for t in made], np.int64)
+    table = np.concatenate(made) if made else np.zeros(0, np.int32)
+    n = size[which]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(size) - size)[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = np.concatenate(([0], ends))[np.searchsorted(bounds[:-1], offsets)]  # tokens before each text
+    out = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(table[at]))
+    return pa.compute.if_else(texts.is_null(), None, out) if texts.null_count else out
 
 
 def tokenize(df: DataFrame, key: str, trie: CharTrie, mode: str = SHORTEST, ignore_unk: bool = False, trie_key_scores: Sequence[float] = (), output_key: str = "", seed: int = 0) -> DataFrame:
@@ -354,8 +373,10 @@ def tokenize(df: DataFrame, key: str, trie: CharTrie, mode: str = SHORTEST, igno
     # what is dropped at a dead end may reach back over a space
     apart = not ignore_unk and _cuts_at_spaces(trie.key_bytes(i) for i in trie.ids())
 
+    name = uuid.uuid4().hex
+
     def shortest(x: pa.Array) -> pa.Array:
-        return pa.array(_by_pieces(x.to_pylist(), shared.value.tokenize_shortest, apart), pa.list_(pa.int32()))
+        return _by_pieces(x, shared.value.tokenize_shortest, apart, name)
 
     def rand(x: pa.Array, row: pa.Array) -> pa.Array:
         t = shared.value
@@ -378,8 +399,10 @@ def tokenize_bpe(df: DataFrame, key: str, symbols: CharTrie, merges: BPEMerges,
 
     apart = _cuts_at_spaces([*(symbols.key_bytes(i) for i in symbols.ids()), *merges.results()])
 
+    name = uuid.uuid4().hex
+
     def one(x: pa.Array) -> pa.Array:
-        return pa.array(_by_pieces(x.to_pylist(), shared.value.tokenize, apart), pa.list_(pa.int32()))
+        return _by_pieces(x, shared.value.tokenize, apart, name)
 
     return df.withColumn(output_key or key, F.arrow_udf(one, T.ArrayType(T.IntegerType())).asNondeterministic()(as_bytes(df, key)))
 

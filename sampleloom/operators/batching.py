@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - makes pa.compute available
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleloom.functions.arrays import as_bytes
 from sampleloom.operators.order import SMALL_LIST
 from sampleloom.shipping import ship
-from sampleloom.types import INDEX, element, is_bytes, rank, require
+from sampleloom.types import INDEX, element, fresh, is_bytes, rank, require
 
 
 def _padded(x: Column, dt: T.DataType, sizes: list[Column], value) -> Column:
@@ -109,11 +110,12 @@ def batch(df: DataFrame, batch_size: int | Sequence[int], pad: Mapping[str, floa
     for i, n in enumerate(sizes):
         rows.append((i, at, at + n - 1))
         at += n
-    bounds = spark.createDataFrame(rows, "__b long, __low long, __high long")
-    spread = bounds.select("__b", F.explode(F.sequence("__low", "__high")).alias("__i"))
+    b, i = fresh(df, "__b"), fresh(df, "__i")
+    bounds = spark.createDataFrame(rows, "b long, low long, high long")
+    spread = bounds.select(F.col("b").alias(b), F.explode(F.sequence("low", "high")).alias(i))
     spread = F.broadcast(spread) if at <= SMALL_LIST else spread
-    joined = df.join(spread, F.col(INDEX) == F.col("__i")).drop("__i")
-    return _gather(joined, F.col("__b"), [c for c in df.columns], pads, dim or {}, default)
+    joined = df.join(spread, F.col(INDEX) == F.col(i)).drop(i)
+    return _gather(joined, F.col(b), [c for c in df.columns], pads, dim or {}, default)
 
 
 # ---------------------------------------------------------------- dynamic batches
@@ -187,7 +189,8 @@ def dynamic_groups(shapes: Sequence[tuple[int, ...]], min_size: int, max_size: i
                 continue
             current, size = [i], alone
         else:
-            current, size = [*current, i], nxt
+            current.append(i)
+            size = nxt
     if current:
         total = size.total()
         if (min_size > 0 and total < min_size) or (max_size > 0 and total > max_size):
@@ -197,6 +200,129 @@ def dynamic_groups(shapes: Sequence[tuple[int, ...]], min_size: int, max_size: i
     return batches, left
 
 
+def length_plan(counts: Sequence[tuple[int, int]], min_size: int, max_size: int, joined: bool = False, drop_outliers: bool = False) -> list[tuple[int, int, int, int, int, int]]:
+    """:func:`dynamic_groups` of values of one dimension from (length, rows) alone, ascending by length.
+
+    Runs (length, first, n, batch, each, place): of the rows of that length the n from rank ``first`` on go to
+    batches of ``each``, the first of which is ``batch``; a row's place there is ``place`` plus its rank modulo ``each``.
+    The number of runs follows the lengths, not the rows.
+    """
+    runs: list[tuple[int, int, int, int, int, int]] = []
+    parts: list[tuple[int, int, int]] = []  # of the open batch: length, first rank, rows
+    batch, rows, total = 0, 0, 0
+
+    def small(elements: int) -> bool:
+        return 0 < min_size and elements < min_size
+
+    def close() -> None:
+        nonlocal batch, rows, total, parts
+        if parts and not small(total if joined else rows * parts[-1][0]):
+            at = 0
+            for length, first, n in parts:
+                runs.append((length, first, n, batch, n, at))
+                at += n
+            batch += 1
+        rows, total, parts = 0, 0, []
+
+    def room(length: int, n: int) -> int:
+        """How many of n values of this length the open batch takes."""
+        if not length:
+            return n
+        return min(n, max(0, (max_size - total) // length if joined else max_size // length - rows))
+
+    fitting = [c for c in counts if c[0] <= max_size]
+    for length, n in fitting:
+        first = 0
+        while first < n:
+            if not rows and length:
+                each = max_size // length
+                full = (n - first) // each
+                if full:  # whole batches of this length: nothing more fits into them
+                    if not small(each * length):
+                        runs.append((length, first, full * each, batch, each, 0))
+                        batch += full
+                    first += full * each
+                    continue
+            take = room(length, n - first)
+            if not take:
+                close()
+                continue
+            parts.append((length, first, take))
+            rows, total, first = rows + take, total + take * length, first + take
+    close()
+    # Too large ones are alone.  Without a minimum, the last of all is left over where anything came before it.
+    outliers = [c for c in counts if c[0] > max_size]
+    if min_size > 0 or not fitting:
+        outliers = [] if drop_outliers else outliers
+    elif outliers:
+        outliers[-1] = (outliers[-1][0], outliers[-1][1] - 1)
+    for length, n in outliers:
+        if n:
+            runs.append((length, 0, n, batch, 1, 0))
+            batch += n
+    return runs
+
+
+#: Consecutive rows that are ranked together within a length.
+RANGE_ROWS = 250_000
+
+
+def _by_length(sized: DataFrame, min_size: int, max_size: int, joined: bool, drop_outliers: bool) -> DataFrame:
+    """(__idx, __batch, __at) of the rows (__idx, n) by :func:`length_plan`: rows are ranked within their length, in the order of the index."""
+    sized = sized.withColumn("part", F.expr(f"{INDEX} div {RANGE_ROWS}L"))
+    counts = sized.groupBy("n", "part").agg(F.count(F.lit(1)).alias("rows"))
+    by_length = sorted((r["n"], r["rows"]) for r in counts.groupBy("n").agg(F.sum("rows").alias("rows")).collect())  # a row for each length
+    runs: dict[int, list[tuple]] = {}
+    for length, *run in length_plan(by_length, min_size, max_size, joined, drop_outliers):
+        runs.setdefault(length, []).append(tuple(run))
+    table = sized.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).T for k, v in runs.items()})  # some numbers for each length
+    earlier = Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("n", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("n", "part").orderBy(INDEX)).cast("long") - 1
+    ranked = sized.withColumn("local", local).join(before.hint("shuffle_hash"), ["n", "part"])
+
+    def place(batches):
+        for b in batches:
+            index, length, rank = (np.asarray(c) for c in b.columns)
+            group, at = np.full(len(rank), -1, np.int64), np.zeros(len(rank), np.int64)
+            order = np.argsort(length, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                run = table.value.get(int(length[some[0]])) if len(some) else None
+                if run is not None:
+                    first, n, batch_, each, begin = run
+                    k = np.maximum(np.searchsorted(first, rank[some], "right") - 1, 0)
+                    past = rank[some] - first[k]
+                    ok = (past >= 0) & (past < n[k])
+                    group[some] = np.where(ok, batch_[k] + past // each[k], -1)
+                    at[some] = begin[k] + past % each[k]
+            keep = np.flatnonzero(group >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (index, group, at)], [INDEX, "__batch", "__at"])
+
+    return ranked.select(INDEX, "n", (F.col("local") + F.col("before")).alias("rank")).mapInArrow(place, _ASSIGNED)
+
+
+_ASSIGNED = f"{INDEX} long, __batch long, __at long"
+
+
+def _by_chunk(sized: DataFrame, chunk_rows: int, max_size: int, concat: int | None) -> DataFrame:
+    """(__idx, __batch, __at) chunk by chunk where nothing is carried over, all chunks in parallel; batches are numbered by chunks."""
+    chunked = sized.select(F.expr(f"{INDEX} div {chunk_rows}L").alias("chunk"), INDEX, "__shape")
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by(INDEX)
+        index, shapes = table.column(INDEX).to_pylist(), [tuple(s) for s in table.column("__shape").to_pylist()]
+        made, over = dynamic_groups(shapes, -1, max_size, concat)
+        groups = [*made, *([i] for i in over)]  # a lone one that is too large
+        rows = [(table.column("chunk")[0].as_py(), index[i], k, at) for k, g in enumerate(groups) for at, i in enumerate(g)]
+        return pa.table([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["chunk", INDEX, "local", "__at"])
+
+    made = chunked.groupBy("chunk").applyInArrow(solve, f"chunk long, {INDEX} long, local long, __at long")
+    counts = made.groupBy("chunk").agg((F.max("local") + 1).alias("n"))  # a row for each chunk
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return made.join(before, "chunk").select(INDEX, (F.col("local") + F.col("before")).alias("__batch"), "__at")
+
+
 def dynamic_assignment(
     df: DataFrame,
     key: str,
@@ -208,12 +334,15 @@ def dynamic_assignment(
     max_skipped_samples: int = 1000,
     size_df: DataFrame | None = None,
 ) -> DataFrame:
-    """(__idx, __batch): the batch of each row that has one.
+    """(__idx, __batch, __at): the batch of each row that has one, and its place there.
 
-    Packing is a recurrence over sorted sizes, so it is one ordered pass over (index,
-    shape) rows, a few bytes each; the rows themselves stay where they are.  With
-    ``chunk_rows`` the pass goes chunk by chunk, and what is left over (at most
-    ``max_skipped_samples``) goes to the next one.
+    Values of one dimension are planned from how many there are of each length, whatever the
+    number of rows (:func:`length_plan`).  With ``chunk_rows`` the chunks are packed in parallel
+    where nothing is carried from one to the next: without a minimum and without dropping.
+
+    What is left is one ordered pass over (index, shape) rows in one task, a few bytes each, the samples staying where
+    they are: values of several dimensions, whose order by elements mixes shapes, and chunks that leave
+    something over (at most ``max_skipped_samples``) to the next one.
     """
     require(df, INDEX)
     ship(df.sparkSession)
@@ -230,11 +359,16 @@ def dynamic_assignment(
     concat = (dim or {}).get(key)
     if concat is not None and concat < 0:
         concat += max(1, rank(dt)) if size_df is None else 1
-    sized = source.select(INDEX, shapes.alias("__shape"))
     if size_df is not None:
         a, b = df.count(), size_df.count()
         if a != b:
             raise ValueError("the sizes are of another number of rows")
+    flat = rank(dt) <= 1 if size_df is None else not isinstance(dt, T.ArrayType)
+    if max_data_size > 0 and flat and not chunk_rows:
+        return _by_length(source.select(INDEX, shapes[0].alias("n")), min_data_size, max_data_size, concat is not None, drop_outliers)
+    sized = source.select(INDEX, shapes.alias("__shape"))
+    if max_data_size > 0 and chunk_rows and min_data_size <= 0 and not drop_outliers:
+        return _by_chunk(sized, chunk_rows, max_data_size, concat)
 
     def run(batches):
         number, left = 0, []
@@ -272,7 +406,7 @@ def dynamic_assignment(
             yield solve([*left, *held], True)
 
     ordered = sized.repartition(1).sortWithinPartitions(INDEX)
-    return ordered.mapInArrow(run, f"{INDEX} long, __batch long, __at long")
+    return ordered.mapInArrow(run, _ASSIGNED)
 
 
 def dynamic_batch(
@@ -291,10 +425,11 @@ def dynamic_batch(
 ) -> DataFrame:
     """Batches of at most ``max_data_size`` elements (see :func:`dynamic_groups`), by chunks of ``buffer_size`` rows if given."""
     assigned = dynamic_assignment(df, key, min_data_size, max_data_size, dim, drop_outliers, buffer_size, max_skipped_samples, size_df)
-    joined = df.join(assigned.withColumnRenamed(INDEX, "__i"), F.col(INDEX) == F.col("__i")).drop("__i")
-    ordered = joined.withColumn(INDEX, F.col("__at")).drop("__at")  # the order within a batch is that of the sizes
+    i, group, at = (fresh(df, n) for n in ("__i", "__batch", "__at"))
+    joined = df.join(assigned.toDF(i, group, at), F.col(INDEX) == F.col(i)).drop(i)
+    ordered = joined.withColumn(INDEX, F.col(at)).drop(at)  # the order within a batch is that of the sizes
     pads = pad if isinstance(pad, Mapping) else {}
-    made = _gather(ordered, F.col("__batch"), [c for c in df.columns], pads, dim or {}, 0 if isinstance(pad, Mapping) else pad)
+    made = _gather(ordered, F.col(group), [c for c in df.columns], pads, dim or {}, 0 if isinstance(pad, Mapping) else pad)
     if shuffle:
         from sampleloom.operators.order import shuffle as mix
 
@@ -308,11 +443,11 @@ def buffered(df: DataFrame, buffer_size: int, on_refill: Callable[[pa.Table], pa
     if on_refill is None:
         return df
     ship(df.sparkSession)
-    out = schema or df.schema
+    out, chunk = schema or df.schema, fresh(df, "__chunk")
 
     def one(table: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(table, sort_keys=[(INDEX, "ascending")])
-        return on_refill(table.take(order).drop_columns(["__chunk"]))
+        return on_refill(table.take(order).drop_columns([chunk]))
 
-    return df.withColumn("__chunk", F.expr(f"{INDEX} div {int(buffer_size)}")).groupBy("__chunk").applyInArrow(one, out)
+    return df.withColumn(chunk, F.expr(f"{INDEX} div {int(buffer_size)}")).groupBy(chunk).applyInArrow(one, out)
 

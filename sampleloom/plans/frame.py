@@ -166,6 +166,24 @@ class Dataset:
         for row in df.select(*keys).toLocalIterator(prefetchPartitions=True):
             yield {k: _value(row[k], kinds[k]) for k in keys}
 
+    _reader: Iterator[dict] | None = None
+
+    def __next__(self) -> dict:
+        """The next sample of this object's own reading, which begins with the first call and again after ``reset``."""
+        if self._reader is None:
+            self._reader = iter(self)
+        return next(self._reader)
+
+    def next(self) -> dict:
+        """As ``__next__``, but an empty dict after the last sample."""
+        try:
+            return self.__next__()
+        except StopIteration:
+            return {}
+
+    def __call__(self) -> dict:
+        return self.next()
+
     def iterate(self, repeat: int = 0) -> Iterator[dict]:
         """``repeat + 1`` passes, or endless ones where negative."""
         n = 0
@@ -272,8 +290,9 @@ class Stream(Dataset):
     def csv_reader_from_key(self, key: str, columns: list[str], sep: str = ",", quote: str = '"', from_memory: bool = False, local_prefix: str = "") -> Stream:
         return self._with(text.csv_reader_from_key(self.df, key, columns, sep, quote, from_memory, local_prefix))
 
-    def line_reader_from_key(self, key: str, dst_key: str, from_memory: bool = True, local_prefix: str = "", keep_keys: Sequence[str] = ()) -> Stream:
+    def line_reader_from_key(self, key: str, dst_key: str, from_memory: bool = True, local_prefix: str = "", keep_keys: Sequence[str] = (), unzip: bool = False) -> Stream:
         df = self.df if from_memory else media.load_file(self.df, key, local_prefix)
+        df = columns.key_transform(df, key, text.decompress, return_type="binary") if unzip else df
         return self._with(strings.line_reader_from_key(df, key, dst_key, keep_keys))
 
     def partition(self, num_partitions: int, partition: int) -> Stream:
@@ -298,9 +317,13 @@ class Stream(Dataset):
         return self._with(windows.sliding_window(self.df, key, size, stride, dim, index_key))
 
     def reset(self) -> Stream:
-        """Nothing to go back from: each iteration reads from the start."""
+        """``next`` begins again; each iteration reads from the start anyway."""
+        self._reader = None
         return self
 
+    def __repr__(self) -> str:
+        return f"Stream(keys={{{', '.join(c for c in self.df.columns if c != INDEX)}}})"
+
     def to_buffer(self, *order_by) -> Buffer:
         if order_by:
             return Buffer(self.df, *order_by)

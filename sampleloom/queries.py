@@ -7,7 +7,7 @@ from collections.abc import Callable
 from io import BytesIO
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,7 @@ def _vectors(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings", "vec_id").select(INDEX, "vec_id", "embedding")
 
 
-# ---------------------------------------------------------------- flagship
+# flagship
 
 
 @query("""
@@ -69,7 +69,7 @@ def q00_flagship(spark, sf_dir):
     )
 
 
-# ---------------------------------------------------------------- keys and rows
+# keys and rows
 
 
 @query("SELECT doc_id, text FROM documents WHERE octet_length(encode(text)) BETWEEN 500 AND 2000")
@@ -118,7 +118,7 @@ def sample_transform(spark, sf_dir):
     return columns.sample_transform(docs, lambda s: {"doc_id": s["doc_id"], "tens": s["n_chars"] // 10} if s["n_chars"] % 2 == 0 else {}, "doc_id long, tens long")
 
 
-# ---------------------------------------------------------------- order
+# order
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS idx FROM orders")
@@ -149,24 +149,33 @@ def perm(spark, sf_dir):
     return order.perm(rows, [24, 0, 3, 3, 7]).select("n_name", F.col(INDEX).alias("idx"))
 
 
-@query("SELECT doc_id FROM documents")
+def _checked_order(df: DataFrame, within: Column) -> DataFrame:
+    """(doc_id, within, permuted): whether the new index numbers the rows from 0 and moves at least nine tenths of them."""
+    i, was = F.col(INDEX), F.col("doc_id")
+    n = F.count("*")
+    facts = df.agg(((F.count_distinct(i) == n) & (F.min(i) == 0) & (F.max(i) == n - 1) & (F.sum((i != was).cast("long")) >= 0.9 * n)).alias("permuted"))
+    return df.select("doc_id", within.alias("within")).crossJoin(F.broadcast(facts))  # one row
+
+
+@query("SELECT doc_id, true AS within, true AS permuted FROM documents")
 def shuffle(spark, sf_dir):
-    return order.shuffle(_docs(spark, sf_dir).select(INDEX, "doc_id"), seed=3).select("doc_id")
+    return _checked_order(order.shuffle(_docs(spark, sf_dir).select(INDEX, "doc_id"), seed=3), F.lit(True))
 
 
-@query("SELECT doc_id FROM documents")
+@query("SELECT doc_id, true AS within, true AS permuted FROM documents")
 def stream_shuffle(spark, sf_dir):
-    return order.stream_shuffle(_docs(spark, sf_dir).select(INDEX, "doc_id"), 100, seed=3).select("doc_id")
+    moved = order.stream_shuffle(_docs(spark, sf_dir).select(INDEX, "doc_id"), 100, seed=3)
+    return _checked_order(moved, F.col("doc_id") - F.col(INDEX) < 100)
 
 
-@query("SELECT doc_id, lang FROM documents")
+@query("SELECT doc_id AS idx, doc_id, lang FROM documents")
 def ordered_prefetch(spark, sf_dir):
     from sampleloom.plans.frame import Buffer
 
-    return Buffer(_docs(spark, sf_dir)).ordered_prefetch(8, 4).df.select("doc_id", "lang")
+    return Buffer(_docs(spark, sf_dir), "doc_id").ordered_prefetch(8, 4).df.select(F.col(INDEX).alias("idx"), "doc_id", "lang")
 
 
-# ---------------------------------------------------------------- arrays
+# arrays
 
 
 @query("SELECT vec_id, [CAST(7 AS FLOAT), CAST(7 AS FLOAT)] || embedding || [CAST(7 AS FLOAT)] AS embedding FROM embeddings")
@@ -237,7 +246,18 @@ def uniq(spark, sf_dir):
     return arrays.uniq_key(_sequences(spark, sf_dir), "x", "n").select("user_id", "x", "n")
 
 
-# ---------------------------------------------------------------- bytes
+@query(f"""
+WITH s AS ({_SEQUENCES}), k AS (SELECT user_id, list_filter(x, lambda v: v <> 2) AS y, x FROM s),
+u AS (SELECT user_id, list_resize(y, len(x), CAST(-1 AS BIGINT)) AS a, CAST(len(y) AS BIGINT) AS n, x FROM k)
+SELECT user_id, [a, list_resize(CAST([] AS BIGINT[]), len(x), CAST(-1 AS BIGINT))] AS x, [n, CAST(0 AS BIGINT)] AS n FROM u
+""")
+def remove_value_rows(spark, sf_dir):
+    """Two lines along the last dimension: the sequence, and as many of the removed value."""
+    s = _sequences(spark, sf_dir).select("user_id", F.array("x", F.array_repeat(F.lit(2).cast("long"), F.size("x"))).alias("x"), F.array("n", "n").alias("n"))
+    return arrays.remove_value(s, "x", "n", 1, 2, -1)
+
+
+# bytes
 
 
 @query("SELECT doc_id, replace(text, 'the', 'THE') AS text FROM documents")
@@ -278,7 +298,7 @@ def lines(spark, sf_dir):
     return text.line_reader_from_key(_table(spark, sf_dir, "documents"), "text", "line")
 
 
-# ---------------------------------------------------------------- windows and batches
+# windows and batches
 
 
 @query("SELECT vec_id, CAST(k AS BIGINT) AS k, embedding[k * 24 + 1:least(k * 24 + 32, 64)] AS embedding FROM embeddings, range(3) r(k)")
@@ -345,7 +365,15 @@ def dynamic_batch_size_buffer(spark, sf_dir):
     return a.select(F.col(INDEX).alias("doc_id"), F.col("__batch").alias("batch"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+n AS (SELECT doc_id, len(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) AS n FROM l),
+s AS (SELECT doc_id // 500 AS c, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY n, doc_id) AS k, n FROM n),
+f AS (SELECT c, k, n, 0 AS b, 1 AS rows FROM s WHERE k = 1
+      UNION ALL SELECT s.c, s.k, s.n, CASE WHEN (f.rows + 1) * s.n <= 512 THEN f.b ELSE f.b + 1 END, CASE WHEN (f.rows + 1) * s.n <= 512 THEN f.rows + 1 ELSE 1 END
+      FROM f JOIN s ON s.c = f.c AND s.k = f.k + 1)
+SELECT dense_rank() OVER (ORDER BY c, b) - 1 AS batch, CAST(count(*) AS INTEGER) AS rows, CAST(max(n) AS INTEGER) AS width FROM f GROUP BY c, b
+""")
 def stream_dynamic_batch(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(INDEX, F.transform(strings.lines(F.col("text")), lambda x: F.octet_length(x)).alias("x"))
     b = batching.dynamic_batch(rows, "x", max_data_size=512, buffer_size=500)
@@ -363,7 +391,7 @@ def buffered(spark, sf_dir):
     return batching.buffered(_docs(spark, sf_dir).select(INDEX, "doc_id", "n_chars"), 100, refill, "doc_id long, place long")
 
 
-# ---------------------------------------------------------------- tokens
+# tokens
 
 
 def _byte_trie() -> tokenize.CharTrie:
@@ -373,18 +401,43 @@ def _byte_trie() -> tokenize.CharTrie:
     return trie
 
 
-@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents")
+_BYTES = "WITH h AS (SELECT doc_id, hex(encode({})) AS h FROM documents) SELECT doc_id, list_transform(range(length(h) // 2), lambda i: {}) AS t FROM h"
+_BYTE = "CAST('0x' || h[2 * i + 1:2 * i + 2] AS INTEGER)"
+
+
+@query(_BYTES.format("text", _BYTE))
 def tokenize_bytes(spark, sf_dir):
     t = tokenize.tokenize(_docs(spark, sf_dir), "text", _byte_trie(), output_key="t")
-    return t.select("doc_id", F.size("t").cast("long").alias("n"))
+    return t.select("doc_id", "t")
 
 
-@query("SELECT doc_id, CAST(octet_length(encode(replace(text, 'th', '#'))) AS BIGINT) AS n FROM documents")
+@query(_BYTES.format("replace(text, 'th', chr(1))", f"CASE {_BYTE} WHEN 1 THEN 256 ELSE {_BYTE} END"))
 def tokenize_bpe(spark, sf_dir):
     merges = tokenize.BPEMerges()
     merges.add("t", "h", 256)
     t = tokenize.tokenize_bpe(_docs(spark, sf_dir), "text", _byte_trie(), merges, "t")
-    return t.select("doc_id", F.size("t").cast("long").alias("n"))
+    return t.select("doc_id", "t")
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+x AS (SELECT doc_id, unnest(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) AS line, unnest(range(len(p))) AS k FROM l),
+o AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS i, line FROM x WHERE line IS NOT NULL),
+t AS (SELECT i // 128 AS c, octet_length(encode(string_agg(line, '' ORDER BY i))) AS n FROM o GROUP BY 1),
+w AS (SELECT c, unnest(range((n + 1024) // 1025)) AS k, n FROM t),
+b AS (SELECT row_number() OVER (ORDER BY c, k) - 1 AS i, least(1025, n - k * 1025) AS n FROM w)
+SELECT CAST(i // 32 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS rows, CAST(max(n) AS INTEGER) AS width, CAST(sum(n) AS BIGINT) AS tokens FROM b GROUP BY 1
+""")
+def token_windows(spark, sf_dir):
+    """Language-model batches: lines, tokens, 128 lines joined, windows of 1025 tokens, batches of 32 padded with -1."""
+    from sampleloom.plans.frame import Stream
+
+    split = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(strings.lines(F.col("text"))).alias("k", "line"))
+    lines = order.with_index(split, "doc_id", "k").select(INDEX, "line")
+    s = Stream(lines).tokenize("line", _byte_trie()).batch(128, dim={"line": 0}).sliding_window("line", 1025, 1025)
+    b = s.to_buffer().batch(32, pad=-1).df
+    tokens = F.aggregate("line", F.lit(0).cast("long"), lambda a, v: a + F.size(F.filter(v, lambda t: t >= 0)))
+    return b.select(F.col(INDEX).alias("batch"), F.size("line").alias("rows"), F.size(F.get("line", F.lit(0))).alias("width"), tokens.alias("tokens"))
 
 
 @query()
@@ -396,7 +449,44 @@ def tokenize_rand(spark, sf_dir):
     return t.select("item_id", F.size("t").alias("n"))
 
 
-# ---------------------------------------------------------------- media, made from the tables
+# sources
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, doc_id * 2 AS twice FROM documents")
+def python_iterable(spark, sf_dir):
+    """Samples from an iterable that each of four tasks makes for itself."""
+    from sampleloom.sources.memory import stream_python_iterable
+
+    n = _table(spark, sf_dir, "documents").count()
+    return stream_python_iterable(spark, lambda p: ({"key": str(i), "twice": 2 * i} for i in range(p, n, 4)), "key string, twice long", 4)
+
+
+@query("SELECT doc_id, source || '/' || lang AS place, n AS part FROM documents, range(2) r(n)")
+def compose(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return columns.compose(rows, lambda s: [{"doc_id": s["doc_id"], "place": f"{s['source']}/{s['lang']}", "part": k} for k in range(2)], "doc_id long, place string, part long")
+
+
+@query("SELECT doc_id, upper(lang) AS lang FROM documents")
+def conditional_twins(spark, sf_dir):
+    """``_if`` operations: the one whose condition is false leaves the rows as they are."""
+    from sampleloom.plans.frame import Stream
+
+    s = Stream(_table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    return s.key_transform_if(True, "lang", F.upper).key_transform_if(False, "lang", F.lower).df
+
+
+@query("SELECT item_id, 2 AS n FROM benchmark")
+def all_tokenizations(spark, sf_dir):
+    trie = tokenize.CharTrie()
+    for t in ("a", "aa", "b"):
+        trie.insert(t)
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.lit("aab").alias("x"))
+    made = tokenize.all_tokenizations(rows, "x", trie)
+    return made.groupBy("item_id").agg(F.count_distinct("tokens").cast("int").alias("n"))
+
+
+# media, made from the tables
 
 
 def _pictures(spark, sf_dir):
@@ -454,7 +544,7 @@ def audio_features(spark, sf_dir):
     return _shape_of(columns.key_transform(there, "image", extract, return_type=TENSOR))
 
 
-@query("SELECT vec_id, [CAST(64 AS BIGINT)] AS shape FROM embeddings")
+@query("SELECT vec_id, embedding AS image FROM embeddings")
 def load_numpy(spark, sf_dir):
     ship(spark)
 
@@ -465,7 +555,8 @@ def load_numpy(spark, sf_dir):
 
     udf = F.udf(save, T.BinaryType(), useArrow=True).asNondeterministic()
     rows = _vectors(spark, sf_dir).select("vec_id", udf("embedding").alias("image"))
-    return _shape_of(media.load_numpy(rows, "image", from_memory=True))
+    loaded = media.load_numpy(rows, "image", from_memory=True)
+    return columns.key_transform(loaded, "image", lambda x: x.tolist(), return_type="array<float>")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, lang, source FROM documents")

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from sampleloom.functions import audio as A
 from sampleloom.functions.images import decode_png, encode_png
 from sampleloom.shipping import ship
-from sampleloom.types import TENSOR, require, tensor, untensor
+from sampleloom.sources.files import joined, open_read, write_whole
+from sampleloom.types import TENSOR, fresh, require, tensor, untensor
 
 _NPY = {"|u1", "|i1", "<i4", "<i8", "<f4", "<f8"}
 
@@ -26,7 +27,7 @@ def _name(v) -> str:
 def _content(v, prefix: str, from_memory: bool) -> bytes:
     if from_memory:
         return bytes(v) if not isinstance(v, str) else v.encode()
-    with open(os.path.join(prefix, _name(v)) if prefix else _name(v), "rb") as f:
+    with open_read(joined(prefix, _name(v))) as f:
         return f.read()
 
 
@@ -38,7 +39,7 @@ def _decoded(df: DataFrame, key: str, f: Callable, kind: T.DataType, output_key:
 
 
 def load_file(df: DataFrame, key: str, prefix: str = "", output_key: str = "") -> DataFrame:
-    """The content of the file that the key names, as BINARY."""
+    """The content of the file that the key names (a path, or a URI of a file system that Arrow knows), as BINARY."""
     return _decoded(df, key, lambda v: _content(v, prefix, False), T.BinaryType(), output_key)
 
 
@@ -72,6 +73,29 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return i.select(F.col("image.origin").alias("file"), udf("image.nChannels", "image.height", "image.width", "image.data").alias("image"))
 
 
+def decode_images(df: DataFrame, key: str, folder: str, output_key: str = "") -> DataFrame:
+    """The HWC tensors of images in memory in any format of Spark's image source (JPEG, PNG, BMP, GIF), null where it can't be decoded.
+
+    The bytes are written to ``folder``, which all executors must share, under their hash, and read back by that source:
+    an action first, then a lazy join.  Equal images are written and decoded once.
+    """
+    require(df, key)
+    spark = df.sparkSession
+    ship(spark)
+    name = fresh(df, "__image")
+    named = df.withColumn(name, F.sha2(F.col(f"`{key}`").cast("binary"), 256))
+
+    def write(rows) -> None:
+        for r in rows:
+            write_whole(f"{folder}/{r[0]}.img", bytes(r[1]))
+
+    named.where(F.col(name).isNotNull()).select(name, F.col(f"`{key}`").cast("binary")).dropDuplicates([name]).foreachPartition(write)
+    found = read_images(spark, folder).select(F.regexp_extract("file", "([0-9a-f]{64})[.]img$", 1).alias("hash"), F.col("image").alias(output_key or key))
+    left = named if (output_key or key) not in df.columns else named.drop(output_key or key)
+    joined_ = left.join(found, left[name] == found["hash"], "left").drop(name, "hash")
+    return joined_.select(*dict.fromkeys([*df.columns, output_key or key]))
+
+
 def _png_size(data: bytes) -> list[int]:
     return [int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")]
 
@@ -147,13 +171,10 @@ def save_image(df: DataFrame, key: str, filename_key: str, prefix: str = "", fil
 
     def write(rows) -> None:
         for r in rows:
-            base = os.path.join(prefix, filename_prefix + os.path.splitext(_name(r[1]))[0])
+            base = joined(prefix, filename_prefix + os.path.splitext(_name(r[1]))[0])
             x = untensor(r[0])
-            todo = [(f"{base}.png", x)] if x.ndim == 3 else [(os.path.join(base, f"{i:06d}.png"), v) for i, v in enumerate(x)]
+            todo = [(f"{base}.png", x)] if x.ndim == 3 else [(f"{base}/{i:06d}.png", v) for i, v in enumerate(x)]
             for path, image in todo:
-                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-                with open(f"{path}.{os.getpid()}", "wb") as f:
-                    f.write(encode_png(image))
-                os.replace(f"{path}.{os.getpid()}", path)
+                write_whole(path, encode_png(image))
 
     df.select(key, filename_key).foreachPartition(write)

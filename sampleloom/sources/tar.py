@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sampleloom.shipping import ship
+from sampleloom.sources.files import open_read
+from sampleloom.types import fresh
 
 SCHEMA = "tar string, file string, offset long, size long"
 _BLOCK = 512
@@ -86,7 +88,7 @@ class _Reader(DataSourceReader):
         return [_Archive(p) for p in self.paths]
 
     def read(self, partition: InputPartition):
-        with open(partition.value, "rb") as f:
+        with open_read(partition.value) as f:
             for path, offset, size in members(f, self.nested):
                 yield partition.value, path, offset, size
 
@@ -138,17 +140,18 @@ def read_from_tar(
     if from_key and tars is None:
         raise ValueError("list the archives in tars, so that they are indexed once")
     paths = [tar_prefix + t for t in (tars or [tarkey])]
-    index = tar_index(spark, paths, nested).select(F.col("tar").alias("__tar"), F.col("file").alias("__file"), "offset", "size")
+    t, f, tar_, file_, offset_, size_ = (fresh(df, n) for n in ("__t", "__f", "__tar", "__file", "__offset", "__size"))
+    index = tar_index(spark, paths, nested).toDF(tar_, file_, offset_, size_)
     tar = F.concat(F.lit(tar_prefix), F.col(tarkey).cast("string")) if from_key else F.lit(paths[0])
-    wanted = df.withColumn("__t", tar).withColumn("__f", F.concat(F.lit(prefix), F.col(f"`{ikey}`").cast("string")))
-    joined = wanted.join(index, (F.col("__t") == F.col("__tar")) & (F.col("__f") == F.col("__file")), "left")
+    wanted = df.withColumn(t, tar).withColumn(f, F.concat(F.lit(prefix), F.col(f"`{ikey}`").cast("string")))
+    joined = wanted.join(index, (F.col(t) == F.col(tar_)) & (F.col(f) == F.col(file_)), "left")
 
     def read(path: str, member: str, offset: int | None, size: int | None) -> bytes:
         if offset is None:
             raise FileNotFoundError(f"{member} in {path}")
-        with open(path, "rb") as f:
+        with open_read(path) as f:
             f.seek(offset)
             return f.read(size)
 
     udf = F.udf(read, T.BinaryType(), useArrow=True).asNondeterministic()
-    return joined.withColumn(okey, udf("__t", "__f", "offset", "size")).drop("__t", "__f", "__tar", "__file", "offset", "size")
+    return joined.withColumn(okey, udf(t, f, offset_, size_)).drop(t, f, tar_, file_, offset_, size_)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from sampleloom.functions.strings import line_reader_from_key, lines
 from sampleloom.shipping import ship
+from sampleloom.sources.files import open_read
 from sampleloom.sources.memory import file_text
 
 _MAGIC = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress, b"\xfd7zXZ\x00": lzma.decompress}
@@ -103,7 +104,7 @@ def csv_reader_from_key(df: DataFrame, key: str, columns: list[str], sep: str =
                 if from_memory:
                     data = v if isinstance(v, bytes) else v.encode()
                 else:
-                    with open(local_prefix + (v if isinstance(v, str) else v.decode()), "rb") as f:
+                    with open_read(local_prefix + (v if isinstance(v, str) else v.decode())) as f:
                         data = f.read()
                 rows = parse_csv(decompress(data).decode(), sep, quote)
                 if rows:

@@ -26,7 +26,7 @@ def index_is_contiguous(df):
     return [r[0] for r in df.select(INDEX).orderBy(INDEX).collect()] == list(range(df.count()))
 
 
-# ---------------------------------------------------------------- order
+# order
 
 
 @pytest.mark.parametrize("rows", [5, 3])
@@ -73,7 +73,7 @@ def test_shuffles_permute_and_depend_on_the_seed_alone(spark):
     assert all(v - k < 8 for k, v in enumerate(s))
 
 
-# ---------------------------------------------------------------- batches
+# batches
 
 
 def shapes(df, key="x"):
@@ -161,7 +161,7 @@ def test_buffered(spark):
     assert B.buffered(df, 5, lambda t: t.slice(0, 0) if t["i"][0].as_py() == 0 else t).count() == 5
 
 
-# ---------------------------------------------------------------- windows, keys
+# windows, keys
 
 
 def test_sliding_window(spark):
@@ -187,7 +187,7 @@ def test_keys(spark):
         C.key_transform(df, "a", lambda c: 3)
 
 
-# ---------------------------------------------------------------- facade
+# facade
 
 
 def test_every_operation_has_a_conditional_twin():

@@ -16,7 +16,7 @@ from sampleloom.sources import memory, tar
 from sampleloom.types import TENSOR, tensor, untensor
 
 
-# ---------------------------------------------------------------- Python values
+# Python values
 
 
 def test_python_values(spark):
@@ -39,7 +39,7 @@ def test_python_iterable(spark):
     assert sorted(r.i for r in parts.collect()) == [0, 1, 2, 3]
 
 
-# ---------------------------------------------------------------- archives
+# archives
 
 
 def archive(path, files, fmt=tarfile.USTAR_FORMAT):
@@ -72,7 +72,7 @@ def test_tar_with_binary_size_field(tmp_path):
     assert tar._number(b"\x80" + b"\0" * 9 + b"\x01\x00") == 256 and tar._number(b"00000000017\0") == 15
 
 
-# ---------------------------------------------------------------- arrays, images, audio
+# arrays, images, audio
 
 
 def column(df, key):
@@ -197,7 +197,7 @@ def test_filterbank_features():
     assert A.frames(np.arange(5), 3, 1).tolist() == [[0, 1, 2], [1, 2, 3], [2, 3, 4]] and A.frames(np.arange(2), 3, 1).shape == (0, 3)
 
 
-# ---------------------------------------------------------------- datasets
+# datasets
 
 
 def test_datasets(spark, tmp_path):
@@ -252,7 +252,7 @@ def test_datasets(spark, tmp_path):
     assert [tuple(r) for r in D.load_speechcommands(spark, str(w), "test").collect()] == [("yes/1.wav", 1)]
 
 
-# ---------------------------------------------------------------- streaming
+# streaming
 
 
 def test_streaming(spark, tmp_path):
