@@ -1,7 +1,8 @@
+import random
 import re
 
 import corpus_pipeline as C
-from sampleloom.llm import mixing, packing, quality, simhash, substrings
+from sampleloom.llm import mixing, packing, quality, simhash, substrings, tokencounts
 
 from .conftest import docs_of, prose, row
 from .test_simhash import brute as near_brute
@@ -26,14 +27,22 @@ def test_equals_brute_force(spark, tmp_path):
     left = {r[0]: r[1] for r in good if r[0] not in gone}
     cut = span_brute(list(left.items()), 50)[0]
     want = {}
+    encoding = tokencounts.Tokenizer().encoding()
     for i, t in left.items():
-        n = len([w for k, w in enumerate(re.findall(r"\S+", t)) if k not in cut.get(i, ())])
-        if n:
-            want[i] = n
+        kept = "".join(w for k, w in enumerate(re.findall(r"\S+\s*", t)) if k not in cut.get(i, ()))
+        if kept:
+            want[i] = len(encoding.encode_ordinary(kept))
     total = {}
     for r in got:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == want
+    fill = {}
+    for r in got:
+        fill.setdefault(r.bin_id, []).append((r.bin_offset, r.length))
+    for places in fill.values():  # pieces lie side by side within the capacity
+        places.sort()
+        assert [a + n for a, n in places] == [*(a for a, _ in places[1:]), sum(n for _, n in places)] and places[0][0] == 0
+        assert sum(n for _, n in places) <= packing.CAPACITY
     assert set(gone) >= {100, 101, 102, 103, 104} and {201, 202, 203} <= set(cut)
 
 
@@ -52,9 +61,22 @@ def test_stages_are_the_named_ones():
     assert all((mixing, packing, quality, simhash, substrings))
 
 
+def whole_words():
+    """Words that are one token each after a space."""
+    ranks = tokencounts.Tokenizer().encoding()._mergeable_ranks
+    return sorted(t.decode().strip() for t in ranks if re.fullmatch(rb" [a-z]{4,9}", t))
+
+
 def test_mixing_decides_the_order_of_the_bins(spark, tmp_path, monkeypatch):
-    # one length and more documents than a file's worth, so that only their order tells the bins apart
-    rows = [row(i, prose(f"m{i}", 700), source="s0" if i < 150 else f"s{i % 3}") for i in range(400)]
+    # one length in tokens and more documents than a file's worth, so that only their order tells the bins apart
+    words, stops = whole_words(), ["the", "of", "and", "to"]
+
+    def text(i):
+        r = random.Random(f"m{i}")
+        return " ".join(["the", *(r.choice(stops) if r.random() < 0.3 else r.choice(words) for _ in range(679))])
+
+    assert {tokencounts.Tokenizer().count(text(i)) for i in range(5)} == {680}
+    rows = [row(i, text(i), source="s0" if i < 150 else f"s{i % 3}") for i in range(400)]
     docs_of(spark, rows).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r.doc_id, r.bin_id, r.bin_offset) for r in C.run(spark, str(tmp_path)).collect()]
     assert len(got) == 400
