@@ -109,10 +109,10 @@ def _cut(e: Column, dt: T.DataType, start: Column, count: Column) -> Column:
     return F.substring(e, start + 1, count) if is_bytes(dt) else F.slice(e, start + 1, count)
 
 
-def slice_(df: DataFrame, key: str, dims: int | Sequence[int], starts: int | Sequence[int], ends: int | Sequence[int], output_key: str = "") -> DataFrame:
-    """The entries start .. min(end, length) - 1; a start beyond the length fails when the row is read.
+def slice_(df: DataFrame, key: str, dims: int | Sequence[int], starts: int | Sequence[int], ends: int | Sequence[int], output_key: str = "", clip: bool = False) -> DataFrame:
+    """The entries start .. min(end, length) - 1; a start beyond the length fails when the row is read, or with ``clip`` leaves nothing.
 
-    Negative bounds raise ValueError, as do lists of different lengths.
+    Nulls stay null.  Negative bounds raise ValueError, as do lists of different lengths.
     """
     dt = column_type(df, key)
     x = as_bytes(df, key)
@@ -124,7 +124,7 @@ def slice_(df: DataFrame, key: str, dims: int | Sequence[int], starts: int | Seq
 
         def one(e: Column, sub=sub, start=start, end=end) -> Column:
             n = _length(e, sub)
-            checked = F.when(n >= start, n).otherwise(F.raise_error(F.lit(f"slice begins at {start}, after the end")).cast("int"))
+            checked = n if clip else F.when(n < start, F.raise_error(F.lit(f"slice begins at {start}, after the end")).cast("int")).otherwise(n)
             return _cut(e, sub, F.lit(start), F.greatest(F.least(checked, F.lit(end)) - start, F.lit(0)))
 
         x = at_depth(x, d, one)

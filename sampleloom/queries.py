@@ -205,7 +205,7 @@ def slice(spark, sf_dir):  # noqa: A001
 
 @query("SELECT doc_id, hex(array_slice(encode(text), 2, 11)) AS h FROM documents")
 def slice_bytes(spark, sf_dir):
-    return arrays.slice_(_docs(spark, sf_dir), "text", 0, 1, 11).select("doc_id", F.hex("text").alias("h"))
+    return arrays.slice_(_docs(spark, sf_dir), "text", 0, 1, 11, clip=True).select("doc_id", F.hex("text").alias("h"))
 
 
 @query("SELECT vec_id, CAST(16 AS BIGINT) AS n FROM embeddings")

@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sampleloom.functions import arrays as A
+from sampleloom.queries import ORACLE_SQL, QUERIES
 from sampleloom.sources.memory import buffer_from_vector
 from sampleloom.types import INDEX
 
@@ -70,6 +72,20 @@ def test_slice_bytes_and_random_slice(spark):
     assert [bytes(v) for v in column(A.random_slice(df, "x", 0, 9))] == [b"hello", b"world"]
 
 
+def test_slices_of_short_texts_and_nulls(spark, tmp_path):
+    rows = [(0, ""), (1, "a"), (2, None), (3, "é"), (4, "hello, world")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.h for r in QUERIES["slice_bytes"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(con.execute(ORACLE_SQL["slice_bytes"]).fetchall())
+    df = spark.createDataFrame([([1],), (None,)], "x array<int>")
+    assert [r.x for r in A.slice_(df, "x", 0, 2, 4, clip=True).collect()] == [[], None]
+    assert [r.x for r in A.slice_(df, "x", 0, 0, 4).collect()] == [[1], None]
+    with pytest.raises(Exception, match="after the end"):
+        A.slice_(df, "x", 0, 2, 4).collect()
+
+
 def test_shard_and_squeeze(spark):
     df = frame(spark, np.arange(6))
     assert column(A.shard(df, "x", 3)) == [[[0, 1], [2, 3], [4, 5]]]
