@@ -1,9 +1,17 @@
-"""Arrow buffers as numpy arrays."""
+"""Arrow buffers as numpy arrays, and Arrow functions whose memory doesn't follow the batch."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute available
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of a batch that are worked on at a time; a longer value is alone.
+CHUNK_BYTES = 1 << 20
 
 
 def flat_bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -19,3 +27,30 @@ def flat_bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(off, np.int64, len(x) + 1, x.offset * 8)
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs(x: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive rows with at most ``limit`` bytes together; a longer value is alone."""
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(x), 0), np.int64))
+    at, before = 0, 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, to - at
+        at, before = to, int(ends[to - 1])
+
+
+def chunked_udf(f: Callable[..., pa.Array], kind: T.DataType, limit: int = CHUNK_BYTES):
+    """An Arrow function of bytes and maybe other columns that gives its results in pieces: ``f`` gets and returns runs of rows.
+
+    Only the batch as Spark sent it is held whole.
+    """
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            columns = b if isinstance(b, tuple) else (b,)
+            if not len(columns[0]):
+                yield f(*columns)
+            for at, n in runs(columns[0], limit):
+                yield f(*(c.slice(at, n) for c in columns))
+
+    return F.arrow_udf(each, kind)

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,40 @@ def test_operators_equal_the_classes(spark):
     assert sorted(r.tokens for r in K.all_tokenizations(some, "x", trie("a", "aa", "b")).collect()) == [[0, 0, 2], [1, 2]]
 
 
+def over_a_batch(monkeypatch, make, batch):
+    """What an operator's Arrow function makes of one batch, and the most MB that numpy and Python held."""
+    found, arrow_udf = [], F.arrow_udf
+    with monkeypatch.context() as m:
+        m.setattr(F, "arrow_udf", lambda f, *a, **k: found.append(f) or arrow_udf(f, *a, **k))
+        make()
+    tracemalloc.start()
+    made = pa.concat_arrays(list(found[0](iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return made, peak / 1e6
+
+
+def test_the_memory_of_tokens_does_not_follow_the_batch(spark, monkeypatch):
+    bytes_ = trie(*(bytes([b]) for b in range(256)))
+    df = spark.createDataFrame([("",)], "x string")
+    texts = [bytes(range(256)) * 40, None, b"", b"x" * 3_000_000] * 8
+    made, mb = over_a_batch(monkeypatch, lambda: K.tokenize(df, "x", bytes_), pa.array(texts, pa.binary()))
+    assert len(made) == len(texts) and mb < 100
+    assert made.slice(0, 3).to_pylist() == [list(texts[0]), None, []] and made[-1].as_py() == [120] * 3_000_000
+
+
+def test_vocabularies_of_single_bytes(spark):
+    some = trie("b", "a", " ")
+    df = spark.createDataFrame([("ab ba",), (None,), ("",), ("bb",)], "x string")
+    assert [r.x for r in K.tokenize(df, "x", some).collect()] == [[1, 0, 2, 0, 1], None, [], [0, 0]]
+    odd = ["éab", "", "a-b", "--", "b"]
+    t = K.Tokenizer(some, ignore_unk=True)
+    df = spark.createDataFrame([(v,) for v in odd], "x string")
+    assert [r.x for r in K.tokenize(df, "x", some, ignore_unk=True).collect()] == [t.tokenize_shortest(v) for v in odd]
+    with pytest.raises(Exception, match="can't be cut"):
+        K.tokenize(df, "x", some).collect()
+
+
 def test_vocabularies(tmp_path):
     p = tmp_path / "v.txt"
     p.write_text("the\nof\n")
