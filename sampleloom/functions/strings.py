@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sampleloom.functions.buffers import CHUNK_BYTES, chunked_udf, flat_bytes
 from sampleloom.shipping import ship
 from sampleloom.types import column_type, is_bytes
 
@@ -50,8 +51,6 @@ def replace_bytes(df: DataFrame, ikey: str, byte_map: Sequence[str], output_key:
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
     def one(x: pa.Array) -> pa.Array:
-        from sampleloom.functions.buffers import flat_bytes
-
         data, offsets = flat_bytes(x)
         n = sizes[data]
         ends = np.cumsum(n)
@@ -62,7 +61,7 @@ def replace_bytes(df: DataFrame, ikey: str, byte_map: Sequence[str], output_key:
         made = pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(bounds), pa.py_buffer(out)]).cast(pa.binary()).cast(pa.string())
         return pa.compute.if_else(x.is_null(), None, made) if x.null_count else made
 
-    udf = F.arrow_udf(one, T.StringType())
+    udf = chunked_udf(one, T.StringType(), max(1, CHUNK_BYTES // max(1, int(sizes.max()))))
     x = F.col(f"`{ikey}`")
     raw = F.encode(x, "UTF-8") if isinstance(column_type(df, ikey), T.StringType) else x
     return df.withColumn(output_key or ikey, udf(raw))

@@ -162,6 +162,15 @@ def test_vocabularies_of_single_bytes(spark):
         K.tokenize(df, "x", some).collect()
 
 
+def test_the_memory_of_replaced_bytes_does_not_follow_the_batch(spark, monkeypatch):
+    df = spark.createDataFrame([("",)], "x string")
+    texts = [b"ab" * 500_000, None, b"", b"c"] * 16
+    made, mb = over_a_batch(monkeypatch, lambda: S.replace_bytes(df, "x", [f"{b:02x}" for b in range(256)]), pa.array(texts, pa.binary()))
+    assert made.to_pylist() == [None if t is None else t.hex() for t in texts] and mb < 100
+    wide, mb = over_a_batch(monkeypatch, lambda: S.replace_bytes(df, "x", ["y" * 1000] * 256), pa.array([b"z" * 100] * 500, pa.binary()))
+    assert wide.to_pylist() == ["y" * 100_000] * 500 and mb < 100
+
+
 def test_vocabularies(tmp_path):
     p = tmp_path / "v.txt"
     p.write_text("the\nof\n")
