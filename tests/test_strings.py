@@ -171,6 +171,33 @@ def test_the_memory_of_replaced_bytes_does_not_follow_the_batch(spark, monkeypat
     assert wide.to_pylist() == ["y" * 100_000] * 500 and mb < 100
 
 
+def test_few_merges_equal_the_class():
+    r = random.Random(4)
+    fast = 0
+    for _ in range(300):
+        symbols, merges = trie(*"abcd "), K.BPEMerges()
+        known = list("abcd ")
+        for k in range(r.randint(0, 6)):
+            left, right = r.choice(known), r.choice(known)
+            merges.add(left, right, r.choice([5 + k, 5 + k, 5 + k, 3, r.randint(0, 12)]))
+            known.append(left + right)
+        few = K.few_merges(symbols, merges)
+        if few is None:
+            continue
+        fast += 1
+        t = K.BPETokenizer(symbols, merges)
+        texts = [None if r.random() < 0.1 else "".join(r.choice(r.choice(["abcd ", "ab", "a"])) for _ in range(r.randint(0, 20))) for _ in range(30)]
+        got = K._merged(pa.array(texts, pa.string()), *few).to_pylist()
+        assert got == [None if v is None else t.tokenize(v) for v in texts]
+    assert fast > 100
+    late = K.BPEMerges()
+    late.add("a", "b", 9)
+    late.add("ab", "c", 7)  # its part is made at a greater token
+    assert K.few_merges(trie(*"abc"), late) is None
+    with pytest.raises(ValueError, match="no symbol"):
+        K._merged(pa.array(["ax"]), *K.few_merges(trie("a"), K.BPEMerges()))
+
+
 def test_vocabularies(tmp_path):
     p = tmp_path / "v.txt"
     p.write_text("the\nof\n")
