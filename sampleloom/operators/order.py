@@ -19,6 +19,8 @@ SMALL_LIST = 100_000
 #: Rows of a range that one task numbers, and most ranges.
 RANGE_ROWS = 250_000
 MAX_RANGES = 1024
+#: The same where rows carry texts: a range is sorted in memory.
+WIDE_RANGE_ROWS = 50_000
 
 
 def range_number(x: Column, bounds: Sequence) -> Column:
@@ -36,12 +38,12 @@ def _literal(v, dt: T.DataType) -> Column:
     return F.struct(*(F.lit(x).cast(f.dataType) for x, f in zip(v, dt.fields)))
 
 
-def with_index(df: DataFrame, *order: str | Column, index: str = INDEX) -> DataFrame:
+def with_index(df: DataFrame, *order: str | Column, index: str = INDEX, range_rows: int = 0) -> DataFrame:
     """Adds the contiguous index of the rows in the given order.
 
     Rows fall into ranges of the keys, whose bounds come from a sample and
     are fixed in the plan; the ranges' sizes give offsets, and each row's number is its
-    range's offset plus its place there.  Up to ``RANGE_ROWS`` rows are one range.  Ties are broken arbitrarily, so the
+    range's offset plus its place there.  Up to ``range_rows`` (or ``RANGE_ROWS``) rows are one range.  Ties are broken arbitrarily, so the
     keys should be unique.
     """
     if not order:
@@ -53,7 +55,7 @@ def with_index(df: DataFrame, *order: str | Column, index: str = INDEX) -> DataF
     rows = Observation()
     hashed = keyed.select(key).observe(rows, F.count(F.lit(1)).alias("n"))
     some = hashed.orderBy(F.xxhash64(key), key).limit(20 * MAX_RANGES).collect()
-    ranges = int(min(MAX_RANGES, rows.get["n"] // RANGE_ROWS + 1))
+    ranges = int(min(MAX_RANGES, rows.get["n"] // (range_rows or RANGE_ROWS) + 1))
     if ranges == 1:
         place, before = F.row_number().over(Window.orderBy(key)), F.lit(0)
     else:

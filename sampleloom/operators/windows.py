@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.functions.arrays import _cut, _length, as_bytes, at_depth
-from sampleloom.types import INDEX, axis, column_type, fresh, rank
+from sampleloom.types import INDEX, axis, column_type, fresh, rank, require
 
 
 def sliding_window(df: DataFrame, key: str, size: int, stride: int, dim: int = -1, index_key: str = "") -> DataFrame:
@@ -41,3 +41,19 @@ def sliding_window(df: DataFrame, key: str, size: int, stride: int, dim: int = -
     if INDEX in df.columns and index_key != INDEX:
         out = out.withColumn(INDEX, F.col(INDEX) * (1 << 20) + at)
     return out.drop(count, number)
+
+
+def numbered_windows(df: DataFrame, lengths: DataFrame, key: str, size: int, stride: int) -> DataFrame:
+    """:func:`sliding_window` over the first dimension with a contiguous index, without sorting the windows.
+
+    ``lengths`` (__idx, n) has the length of each row's array, from a plan that is cheaper than ``df``: sums of the numbers of windows tell
+    each row's first one, so no window is moved and ``df`` runs once.  The sums are one pass over a few numbers for each row.
+    """
+    require(df, INDEX)
+    row, first, number = (fresh(df, n) for n in ("__row", "__first", "__number"))
+    count = F.expr(f"CAST((n + {stride - 1}L) div {stride} AS BIGINT)")
+    earlier = Window.orderBy(INDEX).rowsBetween(Window.unboundedPreceding, -1)
+    begins = lengths.select(F.col(INDEX).alias(row), F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(first))
+    cut = sliding_window(df.withColumn(row, F.col(INDEX)), key, size, stride, 0, number).drop(INDEX)
+    placed = cut.join(begins.hint("shuffle_hash"), row)  # after cutting: a joined row's array would be made anew for each window
+    return placed.withColumn(INDEX, F.col(first) + F.col(number)).drop(row, first, number)

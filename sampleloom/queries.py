@@ -429,13 +429,18 @@ b AS (SELECT row_number() OVER (ORDER BY c, k) - 1 AS i, least(1025, n - k * 102
 SELECT CAST(i // 32 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS rows, CAST(max(n) AS INTEGER) AS width, CAST(sum(n) AS BIGINT) AS tokens FROM b GROUP BY 1
 """)
 def token_windows(spark, sf_dir):
-    """Language-model batches: lines, tokens, 128 lines joined, windows of 1025 tokens, batches of 32 padded with -1."""
-    from sampleloom.plans.frame import Stream
+    """Language-model batches: lines, tokens, 128 lines joined, windows of 1025 tokens, batches of 32 padded with -1.
+
+    The tokens of each line are counted before lines are numbered, so the windows' numbers come from a plan without texts.
+    """
+    from sampleloom.plans.frame import Buffer, Stream
 
     split = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(strings.lines(F.col("text"))).alias("k", "line"))
-    lines = order.with_index(split, "doc_id", "k").select(INDEX, "line")
-    s = Stream(lines).tokenize("line", _byte_trie()).batch(128, dim={"line": 0}).sliding_window("line", 1025, 1025)
-    b = s.to_buffer().batch(32, pad=-1).df
+    counted = tokenize.tokenize(split, "line", _byte_trie(), output_key="n").withColumn("n", F.size("n").cast("long"))
+    numbered = order.with_index(counted, "doc_id", "k", F.xxhash64("line"), range_rows=order.WIDE_RANGE_ROWS)  # both uses number alike
+    lengths = numbered.groupBy(F.expr(f"{INDEX} div 128L").alias(INDEX)).agg(F.sum("n").alias("n"))
+    joined = Stream(numbered.select(INDEX, "line")).tokenize("line", _byte_trie()).batch(128, dim={"line": 0}).df
+    b = Buffer(windows.numbered_windows(joined, lengths, "line", 1025, 1025)).batch(32, pad=-1).df
     tokens = F.aggregate("line", F.lit(0).cast("long"), lambda a, v: a + F.size(F.filter(v, lambda t: t >= 0)))
     return b.select(F.col(INDEX).alias("batch"), F.size("line").alias("rows"), F.size(F.get("line", F.lit(0))).alias("width"), tokens.alias("tokens"))
 

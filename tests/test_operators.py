@@ -245,3 +245,28 @@ def test_columns_named_like_temporary_ones(spark):
         assert set(names) <= set(made.columns)
         row = made.first()
         assert [row[c] for c in names] == list(range(len(names)))
+
+
+def test_windows_numbered_by_sums(spark, tmp_path, monkeypatch):
+    from sampleloom.queries import ORACLE_SQL, QUERIES
+
+    rows = [(i, list(range(n))) for i, n in enumerate([5, 0, 1, 12, 3, 4])]
+    df = spark.createDataFrame(rows, "__idx long, x array<int>")
+    lengths = df.select("__idx", F.size("x").cast("long").alias("n"))
+    got = W.numbered_windows(df, lengths, "x", 3, 2).orderBy("__idx").collect()
+    assert [r["x"] for r in got] == [x[k : k + 3] for _, x in rows for k in range(0, len(x), 2)]
+    assert [r["__idx"] for r in got] == list(range(len(got)))
+
+    texts = [(i, "\n".join("ab" * (k % 40) for k in range(i * 7 % 60)), "") for i in range(90)]
+    texts += [(5, "", ""), (90, "é\n", ""), (91, None, "")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, with_index = [], O.with_index
+    monkeypatch.setattr(O, "with_index", lambda *a, **k: calls.append(1) or with_index(*a, **k))
+    monkeypatch.setattr(O, "WIDE_RANGE_ROWS", 300)
+    made = {tuple(r) for r in QUERIES["token_windows"](spark, str(tmp_path)).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert made == {tuple(r) for r in con.execute(ORACLE_SQL["token_windows"]).fetchall()}
+    assert len(calls) == 1  # windows aren't sorted to be numbered
