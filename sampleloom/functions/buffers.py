@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - makes pa.compute available
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of a batch that are worked on at a time; a longer value is alone.
 CHUNK_BYTES = 1 << 20
@@ -54,3 +55,20 @@ def chunked_udf(f: Callable[..., pa.Array], kind: T.DataType, limit: int = CHUNK
                 yield f(*(c.slice(at, n) for c in columns))
 
     return F.arrow_udf(each, kind)
+
+
+#: Rows whose Python values a row-wise function holds at a time.
+RUN_ROWS = 256
+
+
+def row_udf(f: Callable, kind: T.DataType):
+    """An Arrow function that computes each row in Python, ``RUN_ROWS`` rows at a time, and gives their results before it goes on."""
+    arrow_type = to_arrow_type(kind)
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            columns = b if isinstance(b, tuple) else (b,)
+            for at in range(0, max(1, len(columns[0])), RUN_ROWS):
+                yield pa.array([f(*v) for v in zip(*(c.slice(at, RUN_ROWS).to_pylist() for c in columns))], arrow_type)
+
+    return F.arrow_udf(each, kind)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sampleloom.functions.buffers import row_udf
 from sampleloom.shipping import ship
-from sampleloom.types import INDEX, TENSOR, column_type, require, tensor, untensor
+from sampleloom.types import INDEX, TENSOR, column_type, is_bytes, require, tensor, untensor
 
 
 def filter_key(df: DataFrame, key: str, remove: bool = False) -> DataFrame:
@@ -54,7 +55,9 @@ def key_transform(df: DataFrame, key: str, func: Callable, output_key: str = "",
         r = func(untensor(v) if opened else v)
         return tensor(r) if closed else r
 
-    return df.withColumn(output_key or key, F.udf(one, out, useArrow=True).asNondeterministic()(x))
+    # tensors are large, and come as bytes; other values keep the conversions of Spark's own row-wise functions
+    udf = row_udf(one, out) if closed and (opened or is_bytes(dt)) else F.udf(one, out, useArrow=True)
+    return df.withColumn(output_key or key, udf.asNondeterministic()(x))
 
 
 def sample_transform(df: DataFrame, func: Callable[[dict], dict], schema: str | T.StructType | None = None) -> DataFrame:

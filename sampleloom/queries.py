@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleloom.functions import arrays, audio, images, strings, tokenize
+from sampleloom.functions.buffers import row_udf
 from sampleloom.operators import batching, columns, order, windows
 from sampleloom.shipping import ship
 from sampleloom.sources import media, text
@@ -502,7 +503,7 @@ def _pictures(spark, sf_dir):
         x = (np.abs(np.asarray(v, np.float64)) * 997 % 256).astype(np.uint8).reshape(8, 8, 1)
         return tensor(np.concatenate((x, 255 - x, x // 2), axis=2))
 
-    udf = F.udf(draw, TENSOR, useArrow=True).asNondeterministic()
+    udf = row_udf(draw, TENSOR).asNondeterministic()
     return _vectors(spark, sf_dir).select(INDEX, "vec_id", udf("embedding").alias("image"))
 
 
@@ -521,7 +522,7 @@ def image_pipeline(spark, sf_dir):
 @query("SELECT vec_id, [CAST(16 AS BIGINT), CAST(16 AS BIGINT), CAST(3 AS BIGINT)] AS shape FROM embeddings")
 def image_png_round_trip(spark, sf_dir):
     p = images.image_op(_pictures(spark, sf_dir), "image", lambda x: images.resize_smallest_side(x, 16))
-    png = F.udf(lambda v: images.encode_png(untensor(v)), T.BinaryType(), useArrow=True).asNondeterministic()
+    png = row_udf(lambda v: images.encode_png(untensor(v)), T.BinaryType()).asNondeterministic()
     back = media.load_image(p.withColumn("png", png("image")), "png", from_memory=True, output_key="back")
     return _shape_of(back.where(F.col("back.data") == F.col("image.data")))
 
@@ -541,7 +542,7 @@ def audio_features(spark, sf_dir):
             w.writeframes(x.tobytes())
         return out.getvalue()
 
-    udf = F.udf(record, T.BinaryType(), useArrow=True).asNondeterministic()
+    udf = row_udf(record, T.BinaryType()).asNondeterministic()
     rows = _vectors(spark, sf_dir).select("vec_id", udf("embedding").alias("image"))
     loud = media.load_audio(rows, "image", from_memory=True, info_key="info")
     there = media.resample_audio(loud, "image", 2000, info_key="info")
@@ -558,7 +559,7 @@ def load_numpy(spark, sf_dir):
         np.save(out, np.asarray(v, np.float32))
         return out.getvalue()
 
-    udf = F.udf(save, T.BinaryType(), useArrow=True).asNondeterministic()
+    udf = row_udf(save, T.BinaryType()).asNondeterministic()
     rows = _vectors(spark, sf_dir).select("vec_id", udf("embedding").alias("image"))
     loaded = media.load_numpy(rows, "image", from_memory=True)
     return columns.key_transform(loaded, "image", lambda x: x.tolist(), return_type="array<float>")

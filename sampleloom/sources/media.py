@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleloom.functions import audio as A
+from sampleloom.functions.buffers import row_udf
 from sampleloom.functions.images import decode_png, encode_png
 from sampleloom.shipping import ship
 from sampleloom.sources.files import joined, open_read, write_whole
@@ -34,7 +35,7 @@ def _content(v, prefix: str, from_memory: bool) -> bytes:
 def _decoded(df: DataFrame, key: str, f: Callable, kind: T.DataType, output_key: str) -> DataFrame:
     require(df, key)
     ship(df.sparkSession)
-    udf = F.udf(lambda v: None if v is None else f(v), kind, useArrow=True).asNondeterministic()
+    udf = row_udf(lambda v: None if v is None else f(v), kind).asNondeterministic()
     return df.withColumn(output_key or key, udf(F.col(f"`{key}`")))
 
 
@@ -68,7 +69,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
         return tensor(x if channels == 1 else np.ascontiguousarray(x[:, :, 2::-1]))
 
-    udf = F.udf(rgb, TENSOR, useArrow=True).asNondeterministic()
+    udf = row_udf(rgb, TENSOR).asNondeterministic()
     i = spark.read.format("image").load(path).where("image.height > 0")
     return i.select(F.col("image.origin").alias("file"), udf("image.nChannels", "image.height", "image.width", "image.data").alias("image"))
 
@@ -128,16 +129,24 @@ def load_audio(
     ``info_key`` those go there and the audio is loaded as well.
     """
     kind = T.ArrayType(T.LongType()) if info_type == A.ALL else T.DoubleType() if info_type == A.NUM_SECONDS else T.LongType()
-    if info or info_key:
-        df = _decoded(df, key, lambda v: A.info_value(A.wav_info(_content(v, prefix, from_memory)), info_type), kind, info_key or output_key or key)
-        if not info_key:
-            return df
+    if info and not info_key:
+        return _decoded(df, key, lambda v: A.info_value(A.wav_info(_content(v, prefix, from_memory)), info_type), kind, output_key)
 
-    def load(v):
-        x, rate = A.decode_wav(_content(v, prefix, from_memory))
+    def load(data):
+        x, rate = A.decode_wav(data)
         return tensor(A.resample(x, rate, sample_rate, resampling_quality) if sample_rate and sample_rate != rate else x)
 
-    return _decoded(df, key, load, TENSOR, output_key)
+    if not info_key:
+        return _decoded(df, key, lambda v: load(_content(v, prefix, from_memory)), TENSOR, output_key)
+
+    def both(v):
+        data = _content(v, prefix, from_memory)
+        return {"info": A.info_value(A.wav_info(data), info_type), "audio": load(data)}
+
+    # one function for both: each has a Python process of its own in every task
+    name = fresh(df, "__loaded")
+    made = _decoded(df, key, both, T.StructType([T.StructField("info", kind), T.StructField("audio", TENSOR)]), name)
+    return made.withColumn(info_key, F.col(name)["info"]).withColumn(output_key or key, F.col(name)["audio"]).drop(name)
 
 
 def resample_audio(df: DataFrame, key: str, sample_rate: int, input_sample_rate: int = 0, info_key: str = "", resampling_quality: str = "linear", output_key: str = "") -> DataFrame:
@@ -152,7 +161,7 @@ def resample_audio(df: DataFrame, key: str, sample_rate: int, input_sample_rate:
         if not isinstance(kind, (T.ArrayType, T.LongType)):
             raise ValueError("the rate comes from the info of type all or sample_rate")
         rate = F.element_at(info_key, -1) if isinstance(kind, T.ArrayType) else F.col(info_key)
-    udf = F.udf(lambda v, r: None if v is None else tensor(A.resample(untensor(v), int(r), sample_rate, resampling_quality)), TENSOR, useArrow=True).asNondeterministic()
+    udf = row_udf(lambda v, r: None if v is None else tensor(A.resample(untensor(v), int(r), sample_rate, resampling_quality)), TENSOR).asNondeterministic()
     return df.withColumn(output_key or key, udf(F.col(f"`{key}`"), rate))
 
 

@@ -286,3 +286,25 @@ def test_streaming(spark, tmp_path):
     assert sorted(order) == list(range(25)) and order != list(range(25))
     assert [r.id for r in got[2]] == [0, 1]
     assert S.stream_partition(spark.range(10), "id", 3, 1).count() == 3
+
+
+def test_row_wise_functions_hold_few_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sampleloom.functions.buffers import RUN_ROWS
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(4000)
+        w.writeframes(np.array([0, 16384, -32768], "<i2").tobytes())
+    found, arrow_udf = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda f, *a, **k: found.append(f) or arrow_udf(f, *a, **k))
+    df = M.load_audio(spark.createDataFrame([(out.getvalue(),), (None,)], "x binary"), "x", from_memory=True, info_key="info")
+    assert len(found) == 1  # the info and the audio in one Python process
+    parts = list(found[0](iter([pa.array([out.getvalue()] * (2 * RUN_ROWS + 1), pa.binary()), pa.array([], pa.binary())])))
+    assert [len(p) for p in parts] == [RUN_ROWS, RUN_ROWS, 1, 0]
+    first, second = df.collect()
+    assert df.columns == ["x", "info"] and first["info"] == [3, 1, 4000] and second["info"] is None and second["x"] is None
+    assert untensor(first["x"]).tolist() == [[0.0], [0.5], [-1.0]]
